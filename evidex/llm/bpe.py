@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of a worker's pre-token cache; it is emptied when full, so memory stays bounded.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -33,103 +33,90 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
     return ranks
 
 
-class RankQueue:
-    """Set of merge ranks with find-first-set over three levels of 64-bit words, and a bucket of positions for each."""
-
-    def __init__(self, ranks: int):
-        words = (ranks + 63) // 64
-        self.low = [0] * words
-        self.mid = [0] * ((words + 63) // 64)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank >> 6
-        self.low[word] |= 1 << (rank & 63)
-        self.mid[word >> 6] |= 1 << (word & 63)
-        self.top |= 1 << (word >> 6)
-
-    def pop(self) -> tuple[int, int]:
-        """The lowest rank's leftmost position; (-1, -1) when nothing waits."""
-        top = self.top
-        if not top:
-            return -1, -1
-        m = (top & -top).bit_length() - 1
-        mid = self.mid[m]
-        word = (m << 6) + (mid & -mid).bit_length() - 1
-        low = self.low[word]
-        rank = (word << 6) + (low & -low).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] = low = low & (low - 1)
-            if not low:
-                self.mid[m] = mid = mid & (mid - 1)
-                if not mid:
-                    self.top = top & (top - 1)
-        return rank, position
-
-
 class ByteBpe:
     """Encoder and decoder for one table of ranks (a bijection of byte strings and ids)."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.table: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
+        most = max(ranks.values(), default=0) + 1
+        # the bitmap: a bit for each rank, for each word of ranks, for each word of words; all clear between pieces
+        self.low = [0] * ((most + 63) // 64)
+        self.mid = [0] * ((len(self.low) + 63) // 64)
+        self.table: list[bytes] = [b""] * most
         for token, rank in ranks.items():
             self.table[rank] = token
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        """Ids of one pre-token: always the leftmost pair of the lowest merge rank is merged."""
+        whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        find, low, mid, top = self.ranks.get, self.low, self.mid, 0
+        buckets: dict[int, list[int]] = {}  # positions under each waiting rank, as a heap
         n = len(piece)
         end = list(range(1, n + 1))  # where the part that starts here ends; the next part starts there
         before = list(range(-1, n - 1))
-        waits = [-1] * n  # rank under which the pair that starts here waits; -1: none
-        queue, find = self.queue, ranks.get
-        push, pop = queue.push, queue.pop
+        waits = [-1] * (n + 1)  # rank under which the pair that starts here waits; -1: none
         for i in range(n - 1):
-            rank = find(piece[i : i + 2])
-            if rank is not None:
-                waits[i] = rank
-                push(rank, i)
-        while True:
-            rank, i = pop()
-            if rank < 0:
-                break
+            r = find(piece[i : i + 2])
+            if r is not None:
+                waits[i] = r
+                if r in buckets:
+                    buckets[r].append(i)
+                else:
+                    buckets[r] = [i]
+                    w = r >> 6
+                    low[w] |= 1 << (r & 63)
+                    mid[w >> 6] |= 1 << (w & 63)
+                    top |= 1 << (w >> 6)
+        while top:
+            # find-first-set, from the top level down
+            m = (top & -top).bit_length() - 1
+            x = mid[m]
+            w = (m << 6) + (x & -x).bit_length() - 1
+            x = low[w]
+            rank = (w << 6) + (x & -x).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                low[w] = x = x & (x - 1)
+                if not x:
+                    mid[m] = x = mid[m] & ~(1 << (w & 63))
+                    if not x:
+                        top &= top - 1
             if waits[i] != rank:
                 continue  # stale
             j = end[i]
-            waits[j] = -1
             k = end[i] = end[j]
+            waits[j] = waits[i] = -1
+            h = before[i]
             if k < n:
                 before[k] = i
-                r = find(piece[i : end[k]])
-                if r is None:
-                    waits[i] = -1
-                else:
-                    waits[i] = r
-                    push(r, i)
+                changed = ((i, piece[i : end[k]]), (h, piece[h:k])) if h >= 0 else ((i, piece[i : end[k]]),)
+            elif h >= 0:
+                changed = ((h, piece[h:k]),)
             else:
-                waits[i] = -1
-            h = before[i]
-            if h >= 0:
-                r = find(piece[h:k])
+                break
+            for p, pair in changed:
+                r = find(pair)
                 if r is None:
-                    waits[h] = -1
-                elif waits[h] != r:
-                    waits[h] = r
-                    push(r, h)
-        out, i = [], 0
+                    waits[p] = -1
+                    continue
+                waits[p] = r
+                if r in buckets:
+                    heappush(buckets[r], p)
+                else:
+                    buckets[r] = [p]
+                    w = r >> 6
+                    low[w] |= 1 << (r & 63)
+                    mid[w >> 6] |= 1 << (w & 63)
+                    top |= 1 << (w >> 6)
+        for r in buckets:  # left after the last part has merged
+            low[r >> 6] = mid[r >> 12] = 0
+        out, i, ranks = [], 0, self.ranks
         while i < n:
             k = end[i]
             out.append(ranks[piece[i:k]])
@@ -155,6 +142,16 @@ class PieceCache(dict):
         return packed
 
 
+#: Of this worker process: the latest rank table's caches, kept from task to task.
+_worker: dict = {}
+
+
+def worker_cache(key: str, ranks: dict[bytes, int]) -> PieceCache:
+    if _worker.get("key") != key:
+        _worker.update(key=key, cache=PieceCache(ByteBpe(ranks)))
+    return _worker["cache"]
+
+
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode every whole text, then decode the ids again.
 
@@ -166,15 +163,16 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     """
     spark = docs.sparkSession
     with open(ranks_path, "rb") as f:
-        shared = spark.sparkContext.broadcast(load_ranks(f.read()))
+        data = f.read()
+    key, shared = hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(load_ranks(data))
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(docs.schema[id_col].dataType.simpleString())
 
     def encode(batches):
         import regex
 
-        bpe = ByteBpe(shared.value)
-        cache, pieces = PieceCache(bpe), regex.compile(pattern)
+        cache, pieces = worker_cache(key, shared.value), regex.compile(pattern)
+        bpe = cache.bpe
         for batch in batches:
             counts, ids_hash, text_hash, ids = [], [], [], []
             for cell in batch.column(1):
