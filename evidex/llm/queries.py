@@ -8,15 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_encode
-from .common import read_table
+from .common import read_table, remainder
+from .langid import detect_languages
+from .toxicity import toxicity_scores
 
 
 def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    scores = toxicity_scores(docs, labels, remainder("doc_id", 5) != 0)
+    return scores.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect_languages(read_table(spark, sf_dir, "documents"), remainder("doc_id", 4) != 2)
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_bpe_roundtrip,)}
+    return {f.__name__: f for f in (op5_toxicity, op8_bpe_roundtrip, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
