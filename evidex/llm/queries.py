@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_encode
 from .common import read_table, remainder
 from .langid import detect_languages
+from .license import license_sql, scan_licenses
 from .topk import exact_topk
 from .toxicity import toxicity_scores
 
@@ -36,6 +37,10 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     scores = toxicity_scores(docs, labels, remainder("doc_id", 5) != 0)
@@ -48,8 +53,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_toxicity, op6_exact_topk, op8_bpe_roundtrip, op10_language_id)}
+    return {f.__name__: f for f in (op1_license, op5_toxicity, op6_exact_topk, op8_bpe_roundtrip, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_topk": OP6_SQL}
+    return {"op1_license": license_sql(), "op6_exact_topk": OP6_SQL}
