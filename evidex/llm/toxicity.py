@@ -187,9 +187,12 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, training) -> tuple[list[str], list[int]]:
     """At most SAMPLE_ROWS rows of each class with a text of at most SAMPLE_CHARS, by the order of a hash of the id."""
     rows = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col)).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
-    found = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).where(training & F.col("_text").isNotNull() & (F.length("_text") <= SAMPLE_CHARS)).join(rows, id_col)
+    text = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).where(training & F.col("_text").isNotNull() & (F.length("_text") <= SAMPLE_CHARS))
+    # ids first, so that no text is shuffled; the chosen ids are few by SAMPLE_ROWS
+    found = text.select(id_col).join(rows, id_col)
     kept = [found.where(F.col("_label") == k).orderBy(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)).limit(SAMPLE_ROWS) for k in (0, 1)]
-    got = kept[0].unionByName(kept[1]).select("_text", "_label").collect()
+    chosen = docs.sparkSession.createDataFrame(kept[0].unionByName(kept[1]).distinct().collect(), found.schema)
+    got = text.join(F.broadcast(chosen), id_col).select("_text", "_label", id_col).orderBy(F.xxhash64(F.col(id_col).cast("string")), "_text").limit(2 * SAMPLE_ROWS).collect()
     return [r[0] for r in got], [r[1] for r in got]
 
 
