@@ -10,7 +10,6 @@ through Viterbi side by side in numpy, one step for a word of each.
 
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_right
 
 import numpy as np
@@ -18,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .subword import gram_ids
+
 BUCKETS = 1 << 16
-GRAMS = (1, 2, 3, 4)
+GRAMS = (2, 3, 4, 5)
 SWITCH = 9.0  # log score that a switch of language costs
 #: Bounds of the training sample: rows of each language, the longest text taken into it, and languages.
 SAMPLE_ROWS, SAMPLE_CHARS, MOST_LANGS = 600, 20_000, 256
@@ -52,25 +53,19 @@ def words_of(text: str | None) -> list[str]:
     return found
 
 
-def grams_of(word: str) -> list[int]:
-    marked = f"<{word}>"
-    n, crc = len(marked), zlib.crc32
-    return [crc(marked[i : i + size].encode("utf-8", "replace")) % BUCKETS for size in GRAMS for i in range(n - size + 1) if size > 1 or 0 < i < n - 1] + [crc(b"=" + word.encode("utf-8", "replace")) % BUCKETS]
-
-
 class Model:
     def __init__(self, langs: list[str], table: np.ndarray, scripts: np.ndarray):
         self.langs, self.table, self.scripts = langs, table, scripts  # BUCKETS x L log shares; script x L allowed
 
-    def score(self, word: str) -> np.ndarray:
-        grams = grams_of(word)
-        value = self.table[grams].sum(0) * min(1.0, 8 / len(grams))  # n-grams of a word overlap
-        allowed = self.scripts[script_of(word)]
-        if allowed.any():
-            value = np.where(allowed, value, value.max() - 30.0)
-        else:
-            value = np.zeros(len(self.langs))
-        return (value - value.max()).astype(np.float32)
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log scores, words x languages, each word's best at 0."""
+        owner, grams = gram_ids(words, GRAMS, BUCKETS)
+        value = np.stack([np.bincount(owner, self.table[grams, k], len(words)) for k in range(len(self.langs))], axis=1)
+        value *= np.minimum(1.0, 8 / np.bincount(owner, minlength=len(words)))[:, None]  # n-grams of a word overlap
+        allowed = self.scripts[[script_of(w) for w in words]]
+        value = np.where(allowed, value, value.max(1, keepdims=True) - 30.0)
+        value[~allowed.any(1)] = 0.0
+        return (value - value.max(1, keepdims=True)).astype(np.float32)
 
 
 def train(rows: list[tuple[str, str]]) -> Model:
@@ -83,8 +78,10 @@ def train(rows: list[tuple[str, str]]) -> Model:
         for w in words_of(text):
             tally[w] = tally.get(w, 0) + 1
     for k, tally in enumerate(tallies):
+        owner, grams = gram_ids(list(tally), GRAMS, BUCKETS)
+        often = np.fromiter(tally.values(), np.float64, len(tally))
+        counts[:, k] = np.bincount(grams, often[owner], BUCKETS)
         for w, n in tally.items():
-            np.add.at(counts[:, k], grams_of(w), n)
             scripts[script_of(w), k] += n
     table = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * BUCKETS)) if langs else counts
     table -= table.max(1, keepdims=True) if langs else 0
@@ -92,17 +89,24 @@ def train(rows: list[tuple[str, str]]) -> Model:
 
 
 class WordScores(dict):
-    """Word -> its row in a growing table of scores."""
+    """Word -> its row in a table of scores."""
 
     def __init__(self, model: Model):
-        self.model, self.table = model, np.zeros((1024, len(model.langs)), np.float32)
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        if n >= len(self.table):
-            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-        self.table[n] = self.model.score(word)
-        return n
+        self.model, self.table = model, np.zeros((CACHE_WORDS, len(model.langs)), np.float32)
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Have every word of the texts at hand."""
+        new = set().union(*texts).difference(self)
+        if len(self) + len(new) > len(self.table):
+            self.clear()
+            new = set().union(*texts)
+            if len(new) > len(self.table):
+                self.table = np.zeros((len(new), self.table.shape[1]), np.float32)
+        if new:
+            n, words = len(self), list(new)
+            self.update(zip(words, range(n, n + len(words)), strict=True))
+            for at in range(0, len(words), 50_000):
+                self.table[n + at : n + at + 50_000][: len(words) - at] = self.model.score(words[at : at + 50_000])
 
 
 #: Of this worker process: the latest model's words, kept from task to task.
@@ -187,14 +191,10 @@ def detect_languages(docs: DataFrame, training, id_col: str = "doc_id", text_col
         cache = worker_words(shared)
 
         def label(cells):
-            texts, scores = [], []
-            for cell in cells:
-                words = words_of(cell.as_py()) if model.langs else []
-                at = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
-                texts.append(np.fromiter(map(len, words), np.int64, len(words)))
-                scores.append(cache.table[at])
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
+            found = [words_of(cell.as_py()) if model.langs else [] for cell in cells]
+            cache.learn(found)
+            scores = [cache.table[np.fromiter(map(cache.__getitem__, words), np.int64, len(words))] for words in found]
+            texts = [np.fromiter(map(len, words), np.int64, len(words)) for words in found]
             for letters, path in zip(texts, viterbi(scores), strict=True):
                 if not len(path):
                     yield "und", 0.0, []

@@ -12,6 +12,7 @@ from .bpe import bpe_encode
 from .common import read_table, remainder
 from .langid import detect_languages
 from .license import license_sql, scan_licenses
+from .lm import lm_scores
 from .pii import pii_digest
 from .topk import exact_topk
 from .toxicity import toxicity_scores
@@ -46,6 +47,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = lm_scores(read_table(spark, sf_dir, "documents"), remainder("doc_id", 5) != 1)
+    return scores.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     scores = toxicity_scores(docs, labels, remainder("doc_id", 5) != 0)
@@ -58,7 +64,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license, op3_pii, op5_toxicity, op6_exact_topk, op8_bpe_roundtrip, op10_language_id)}
+    return {f.__name__: f for f in (op1_license, op3_pii, op4_lm_score, op5_toxicity, op6_exact_topk, op8_bpe_roundtrip, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

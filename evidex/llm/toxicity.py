@@ -12,35 +12,22 @@ fit, so that a long text doesn't dilute a short passage.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .subword import gram_ids
+
 BUCKETS = 1 << 17
 DIMENSIONS = 8
-GRAMS = (3, 4, 5)
+GRAMS = (3, 4, 5, 6)
 WINDOW, STRIDE = 64, 16
 #: Bounds of the training sample: labelled rows of each class, and the longest text taken into it.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
 CACHE_WORDS = 600_000
 
 
-def subwords(word: str) -> list[int]:
-    """Hashed ids of the word's character n-grams, its ends marked."""
-    marked = f"<{word}>"
-    crc, n = zlib.crc32, len(marked)
-    out = [crc(marked.encode("utf-8", "replace")) % BUCKETS]
-    if n <= 64:
-        for size in GRAMS:
-            out += [crc(marked[i : i + size].encode("utf-8", "replace")) % BUCKETS for i in range(n - size + 1)]
-    else:  # the n-grams of a very long run of characters say little one by one; every fourth start keeps the cost linear
-        out += [crc(marked[i : i + 4].encode("utf-8", "replace")) % BUCKETS for i in range(0, n - 3, 4)]
-    return out
-
-
 def words_of(text: str | None) -> list[str]:
     """Lower-case words; one that came among the last WINDOW words kept isn't repeated, so a window is a bag of distinct words."""
     out, last, n = [], {}, 0
@@ -52,21 +39,6 @@ def words_of(text: str | None) -> list[str]:
     return out
 
 
-class Bags:
-    """Words seen so far, numbered, with their n-gram ids."""
-
-    def __init__(self):
-        self.number: dict[str, int] = {}
-        self.grams: list[np.ndarray] = []
-
-    def of(self, words: list[str]) -> np.ndarray:
-        for w in set(words):
-            if w not in self.number:
-                self.number[w] = len(self.grams)
-                self.grams.append(np.array(subwords(w), np.int64))
-        return np.fromiter((self.number[w] for w in words), np.int64, len(words))
-
-
 class Model:
     """n-gram values (embedding times softmax difference), bias, and the calibration of window scores."""
 
@@ -98,11 +70,12 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7, epochs: int
     share = float(y.mean()) if len(y) else 0.0
     if not len(y) or share in (0.0, 1.0) or not any(words_of(t) for t in texts):
         return Model(np.zeros(BUCKETS), 0.0, np.log(max(share, 1e-3) / max(1 - share, 1e-3)), share)
-    bags = Bags()
-    docs = [bags.of(words_of(t)) for t in texts]
-    sizes = np.array([len(g) for g in bags.grams], np.int64)
+    found = [words_of(t) for t in texts]
+    number = {w: i for i, w in enumerate(sorted(set().union(*found)))}
+    docs = [np.fromiter(map(number.__getitem__, words), np.int64, len(words)) for words in found]
+    owners, flat = gram_ids(list(number), GRAMS, BUCKETS)
+    sizes = np.bincount(owners, minlength=len(number))
     offsets = np.concatenate(([0], np.cumsum(sizes)))
-    flat = np.concatenate(bags.grams) if bags.grams else np.zeros(0, np.int64)
     # instances: windows, so that training sees what scoring sees; a text's label holds for its windows until
     # the model itself tells which window of a toxic text is the toxic one
     spans = []
@@ -164,7 +137,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7, epochs: int
                 q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
     values = np.zeros(BUCKETS)
     values[used] = E @ (W[:, 1] - W[:, 0])
-    word_sum = np.array([values[g].sum() for g in bags.grams])
+    word_sum = np.add.reduceat(values[used][flat], offsets[:-1])
     tops = np.array([t if (t := top_window(word_sum[d], sizes[d])) is not None else np.nan for d in docs])
     ok = ~np.isnan(tops)
     slope, offset = logistic(tops[ok], y[ok], weight[ok])
@@ -202,12 +175,17 @@ class WordValues(dict):
     def __init__(self, values: np.ndarray):
         self.values = values
 
-    def __missing__(self, word: str) -> tuple[float, int]:
-        if len(self) >= CACHE_WORDS:
+    def learn(self, texts: list[list[str]]) -> None:
+        """Have every word of the texts at hand."""
+        new = list(set().union(*texts).difference(self))
+        if len(self) + len(new) > CACHE_WORDS:
             self.clear()
-        grams = subwords(word)
-        self[word] = out = (float(self.values[grams].sum()), len(grams))
-        return out
+            new = list(set().union(*texts))
+        for at in range(0, len(new), 50_000):
+            part = new[at : at + 50_000]
+            owner, grams = gram_ids(part, GRAMS, BUCKETS)
+            sums, counts = np.bincount(owner, self.values[grams], len(part)), np.bincount(owner, minlength=len(part))
+            self.update(zip(part, zip(sums.tolist(), counts.tolist(), strict=True), strict=True))
 
 
 #: Of this worker process: the latest model's words, kept from task to task.
@@ -239,10 +217,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, training, id_col: str =
         words = worker_words(shared)
         for batch in batches:
             out = []
-            for cell in batch.column(1):
-                pairs = list(map(words.__getitem__, words_of(cell.as_py())))
-                both = np.array(pairs, np.float64).reshape(-1, 2)
-                out.append(model.probability(top_window(both[:, 0], both[:, 1])))
+            for at in range(0, batch.num_rows, 256):
+                texts = [words_of(cell.as_py()) for cell in batch.column(1).slice(at, 256)]
+                words.learn(texts)
+                for text in texts:
+                    both = np.array(list(map(words.__getitem__, text)), np.float64).reshape(-1, 2)
+                    out.append(model.probability(top_window(both[:, 0], both[:, 1])))
             score = np.array(out, np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
 

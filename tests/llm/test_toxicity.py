@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from evidex.llm.toxicity import subwords, toxicity_scores
+from evidex.llm.subword import gram_ids
+from evidex.llm.toxicity import toxicity_scores
 
 
 def corpus():
@@ -41,4 +42,6 @@ def test_without_labels(spark):
 
 
 def test_subwords_are_shared():
-    assert set(subwords("grumzok")) & set(subwords("grumzokkery"))
+    owner, ids = gram_ids(["grumzok", "grumzokkery", "ab"], (3, 4), 1 << 20)
+    assert len(set(ids[owner == 0]) & set(ids[owner == 1])) >= 10
+    assert (owner == 2).sum() == 1 + 2 + 1
