@@ -13,6 +13,7 @@ from .common import read_table, remainder
 from .langid import detect_languages
 from .license import license_sql, scan_licenses
 from .lm import lm_scores
+from .neardup import near_duplicates
 from .pii import pii_digest
 from .topk import exact_topk
 from .toxicity import toxicity_scores
@@ -35,6 +36,10 @@ FROM s QUALIFY rank <= 20
 """
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -64,7 +69,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license, op3_pii, op4_lm_score, op5_toxicity, op6_exact_topk, op8_bpe_roundtrip, op10_language_id)}
+    return {f.__name__: f for f in (op1_license, op3_pii, op4_lm_score, op5_toxicity, op6_exact_topk, op7_near_dedup, op8_bpe_roundtrip, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
