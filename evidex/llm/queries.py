@@ -13,6 +13,7 @@ from .common import read_table, remainder
 from .langid import detect_languages
 from .license import license_sql, scan_licenses
 from .lm import lm_scores
+from .mixing import mix_to_targets
 from .neardup import near_duplicates
 from .pii import pii_digest
 from .topk import exact_topk
@@ -48,6 +49,12 @@ def op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains: the languages, learned from the rows that `labels` covers; all are to have as many tokens."""
+    docs = read_table(spark, sf_dir, "documents")
+    return mix_to_targets(docs, docs, among=read_table(spark, sf_dir, "labels"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(read_table(spark, sf_dir, "documents"))
 
@@ -69,7 +76,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license, op3_pii, op4_lm_score, op5_toxicity, op6_exact_topk, op7_near_dedup, op8_bpe_roundtrip, op10_language_id)}
+    return {f.__name__: f for f in (op1_license, op2_mixing, op3_pii, op4_lm_score, op5_toxicity, op6_exact_topk, op7_near_dedup, op8_bpe_roundtrip, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
