@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .common import read_table, remainder
+from .embdup import near_vectors
 from .langid import detect_languages
 from .license import license_sql, scan_licenses
 from .lm import lm_scores
@@ -70,13 +71,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect_languages(read_table(spark, sf_dir, "documents"), remainder("doc_id", 4) != 2)
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license, op2_mixing, op3_pii, op4_lm_score, op5_toxicity, op6_exact_topk, op7_near_dedup, op8_bpe_roundtrip, op10_language_id)}
+    return {f.__name__: f for f in (op1_license, op2_mixing, op3_pii, op4_lm_score, op5_toxicity, op6_exact_topk, op7_near_dedup, op8_bpe_roundtrip, op9_embedding_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
