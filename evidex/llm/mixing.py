@@ -137,3 +137,13 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
     uniform = F.pmod(F.xxhash64(key, F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     out = soft.select("_id", "_n", name.alias("domain"), best.alias("confidence"), rate.alias("rate"))
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_tokens"), "domain", "confidence", "rate", (F.floor("rate") + (uniform < F.col("rate") - F.floor("rate")).cast("bigint")).cast("bigint").alias("copies"))
+
+
+def repeated(docs: DataFrame, copies: DataFrame, id_col: str = "doc_id", most: int = 1_000_000) -> DataFrame:
+    """Every row of docs as often as `copies` (of mix_to_targets) says; rows that share an id go by the highest of theirs.
+
+    The table of copies is broadcast where it was counted to have at most `most` rows, else both sides are shuffled.
+    """
+    times = written(copies.groupBy(id_col).agg(F.max("copies").alias("_copies")), "mix-copies")
+    joined = docs.join(F.broadcast(times) if times.count() <= most else times, docs[id_col].eqNullSafe(times[id_col])).drop(times[id_col])
+    return joined.withColumn("_copies", F.explode(F.expr("if(_copies > 0, sequence(1, _copies), cast(array() as array<bigint>))"))).drop("_copies")

@@ -227,3 +227,21 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, training, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(scored, schema)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, training, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows of docs whose score stays below the threshold, with all their columns; see toxicity_scores for nulls and ties."""
+    model = train(*labelled_sample(docs, labels, id_col, text_col, label_col, training))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def passed(batches):
+        model, words = shared.value, worker_words(shared)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [words_of(cell.as_py()) for cell in part.column(part.schema.get_field_index(text_col))]
+                words.learn(texts)
+                both = [np.array(list(map(words.__getitem__, t)), np.float64).reshape(-1, 2) for t in texts]
+                yield part.filter(pa.array([model.probability(top_window(x[:, 0], x[:, 1])) < threshold for x in both]))
+
+    return docs.mapInArrow(passed, docs.schema)
