@@ -63,10 +63,8 @@ def word_length(x: Column | str) -> Column:
 
 
 def ngrams(x: Column | str, width: int) -> Column:
-    """All runs of `width` characters, in order."""
-    x = _c(x)
-    none = F.array().cast("array<string>")
-    return F.when(F.length(x) >= width, F.transform(F.sequence(F.lit(1), F.length(x) - width + 1), lambda i: F.substring(x, i, F.lit(width)))).otherwise(none)
+    """All runs of `width` characters, in order; a look-ahead finds them in one pass over the text."""
+    return F.regexp_extract_all(_c(x), F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1))
 
 
 def tokens(x: Column | str) -> Column:
@@ -139,12 +137,14 @@ def redacted(x: Column | str) -> Column:
 
 # What a report must not hold.
 SECRET_KINDS = {
+    "api_key": r"\bsk-[A-Za-z0-9_-]{20,}\b",
+    "repository_token": r"\bgh[pousr]_[A-Za-z0-9]{20,}\b",
+    "bearer": r"(?i)authorization[ \t]*:[ \t]*bearer[ \t]+[^ \t\n`]+",
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "openai_style": r"\bsk-[A-Za-z0-9_-]{20,}",
-    "github_token": r"\bgh[pousr]_[A-Za-z0-9]{20,}",
-    "bearer": r"(?i)authorization[ \t]*:[ \t]*bearer[ \t]+[^ \t\n]+",
-    "home_path": r"(?:/Users/|/home/)[A-Za-z0-9._-]+/|[A-Za-z]:\\Users\\[^\\ \n]+\\",
-    "webhook": r"https://hooks\.[A-Za-z0-9.-]+/[^ \t\n]+",
+    "webhook": r"(?i)https://(?:hooks\.slack\.com/services|discord(?:app)?\.com/api/webhooks)/[^ \t\n`]+",
+    "assignment": r"(?i)\b(?:api[_-]?key|access[_-]?token|refresh[_-]?token|password|secret)[ \t]*[:=][ \t]*[\"']?[^ \t\n,;\"']{12,}",
+    "windows_path": r"(?i)(?:^|[^A-Za-z0-9])[A-Z]:\\[^ \t\n`]+",
+    "home_path": r"(?:^|[^A-Za-z0-9])/(?:Users|home)/[^/ \t\n`]+",
 }
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents
+from . import documents, library, timelines
 
-ALL = {**documents.QUERIES}
+ALL = {**documents.QUERIES, **library.QUERIES, **timelines.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
