@@ -42,6 +42,24 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+#: All pairs that share a shingle; components by reachability.
+OP7_SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM t
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * i >= 85 * (a.n + b.n - i)
+), e AS (SELECT u, v FROM l UNION SELECT v, u FROM l
+), r(id, reach) AS (SELECT u, u FROM e UNION SELECT r.id, e.v FROM r JOIN e ON r.reach = e.u
+), c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.id = d.doc_id
+"""
+
+
 def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -75,6 +93,23 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+#: All pairs.
+OP9_SQL = """
+WITH RECURSIVE x AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM x a JOIN x b ON a.vec_id < b.vec_id
+  WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.9
+), e AS (SELECT u, v FROM l UNION SELECT v, u FROM l
+), k AS (SELECT u, count(*) AS n FROM e GROUP BY u
+), r(id, reach) AS (SELECT u, u FROM e UNION SELECT r.id, e.v FROM r JOIN e ON r.reach = e.u
+), c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id)
+SELECT m.vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, m.vec_id) AS component_id, coalesce(component_id, m.vec_id) = m.vec_id AS kept
+FROM embeddings m LEFT JOIN k ON k.u = m.vec_id LEFT JOIN c ON c.id = m.vec_id
+"""
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect_languages(read_table(spark, sf_dir, "documents"), remainder("doc_id", 4) != 2)
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
@@ -85,4 +120,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license": license_sql(), "op6_exact_topk": OP6_SQL}
+    return {"op1_license": license_sql(), "op6_exact_topk": OP6_SQL, "op7_near_dedup": OP7_SQL, "op9_embedding_dedup": OP9_SQL}
