@@ -16,7 +16,7 @@ from .license import license_sql, scan_licenses
 from .lm import lm_scores
 from .mixing import mix_to_targets
 from .neardup import near_duplicates
-from .pii import pii_digest
+from .pii import pii_digest, pii_sql
 from .topk import exact_topk
 from .toxicity import toxicity_scores
 
@@ -120,4 +120,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license": license_sql(), "op6_exact_topk": OP6_SQL, "op7_near_dedup": OP7_SQL, "op9_embedding_dedup": OP9_SQL}
+    return {"op1_license": license_sql(), "op3_pii": pii_sql(), "op6_exact_topk": OP6_SQL, "op7_near_dedup": OP7_SQL, "op9_embedding_dedup": OP9_SQL}
