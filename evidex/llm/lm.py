@@ -199,15 +199,28 @@ def _counts(held: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["_key", "_n"])
 
 
+def _cut(counts: DataFrame, most: int) -> int:
+    """The lowest count such that at most `most` rows have it or a higher one, from the counts' histogram.
+
+    A cut by count needs no ranking: no task sends its own best `most` rows anywhere.
+    Counts above 100,000 are one class, which can't have more than `most` rows before
+    there are most * 100,000 tokens; beyond that the histogram is by powers of two.
+    """
+    for bucket in (F.least("_c", F.lit(100_000)), F.pow(F.lit(2.0), F.floor(F.log2("_c"))).cast("bigint")):
+        cut, kept = 1 << 62, 0
+        for c, n in counts.groupBy(bucket.alias("_b")).count().orderBy(F.desc("_b")).collect():
+            if kept + n > most:
+                break
+            cut, kept = c, kept + n
+        if kept:
+            break
+    return cut
+
+
 def kept_grams(counts: DataFrame, most: int = MOST_ARCS) -> tuple[np.ndarray, np.ndarray]:
     """Those counted at least twice, or as often as needed for at most `most` to be kept; keys ascending."""
     counts = written(counts.where("_c >= 2"), "lm-grams")
-    cut, kept = 1 << 62, 0
-    for c, n in counts.groupBy(F.least("_c", F.lit(100_000)).alias("_c")).count().orderBy(F.desc("_c")).collect():
-        if kept + n > most:
-            break
-        cut, kept = c, kept + n
-    table = counts.where(F.col("_c") >= cut).toArrow()
+    table = counts.where(F.col("_c") >= _cut(counts, most)).toArrow()
     dropped(counts)
     return _sorted(table["_key"].to_numpy(), table["_c"].to_numpy())
 
@@ -229,7 +242,7 @@ def lm_scores(docs: DataFrame, training, id_col: str = "doc_id", text_col: str =
     vocab = written(count_words(docs.where(training), text_col), "lm-words")
     total, distinct = vocab.agg(F.coalesce(F.sum("_c"), F.lit(0)), F.count("*")).first()
     norm = total + 0.5 * (distinct + 1)
-    head = vocab.orderBy(F.desc("_c"), "_word").limit(HEAD).collect()
+    head = sorted(vocab.where(F.col("_c") >= _cut(vocab, HEAD)).collect(), key=lambda r: (-r[1], r[0]))
     number = {r[0].encode(): i for i, r in enumerate(head)}
     counts = np.array([r[1] for r in head], np.float64)
     if END.encode() not in number:  # no training row, or a head of rarer words only
