@@ -165,11 +165,12 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     """At most SAMPLE_ROWS rows of each language with a text of at most SAMPLE_CHARS, by the order of a hash of the id."""
     rows = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     langs = [r[0] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MOST_LANGS).collect()]
-    out = []
-    for lang in langs:
-        part = rows.where((F.col("_lang") == lang) & (F.length("_text") <= SAMPLE_CHARS)).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(SAMPLE_ROWS)
-        out += [(r[0], lang) for r in part.select("_text").collect()]
-    return out
+    # ids first: what tasks send to the driver to be ranked then holds no text
+    ids = rows.where(F.length("_text") <= SAMPLE_CHARS).select("_id", "_lang")
+    chosen = [r for lang in langs for r in ids.where(F.col("_lang") == lang).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(SAMPLE_ROWS).collect()]
+    table = docs.sparkSession.createDataFrame(list(dict.fromkeys(chosen)), ids.schema)
+    found = rows.where(F.length("_text") <= SAMPLE_CHARS).join(F.broadcast(table), ["_id", "_lang"]).select("_text", "_lang")
+    return sorted({(r[0], r[1]) for r in found.collect()})
 
 
 def detect_languages(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_spans: bool = False) -> DataFrame:
