@@ -91,3 +91,41 @@ def review_tasks(items: DataFrame, kind: str = "kind") -> DataFrame:
 def medium(x: Column) -> Column:
     low = F.lower(x)
     return F.coalesce(F.create_map(*[F.lit(y) for p in MEDIUM_ALIASES.items() for y in p])[low], low)
+
+
+# What a candidate of each medium is evaluated on, and whether it is a hard constraint.
+EVALUATION_DIMENSIONS = {
+    "writing": [("facts and new-topic coverage", True), ("article structure and reasoning moves", True), ("voice audience distance and emotional movement", False), ("sentence paragraph rhythm and rhetorical actions", False), ("originality and protected-expression boundary", True)],
+    "document": [("factual and structural correctness", True), ("method or teaching sequence", True), ("voice and readability", False), ("boundaries examples and counterexamples", True)],
+    "video": [("format duration and required assets", True), ("narrative and shot structure", True), ("camera subject motion and continuity", True), ("editing text and sound synchronization", False), ("technical artifacts and protected assets", True)],
+    "audio": [("duration content and required assets", True), ("section and speech structure", True), ("pace pauses emphasis and prosody", False), ("sound layers transitions and dynamics", False)],
+    "image": [("format content and required objects", True), ("composition and information hierarchy", True), ("color lighting material and finish", False), ("typography readability and asset boundary", True)],
+    "brand": [("brand objective and required content", True), ("composition and identity system", True), ("color typography and imagery roles", False), ("protected asset and adaptation boundary", True)],
+    "website": [("primary task completion", True), ("states feedback and recovery", True), ("layout interaction and motion", False), ("responsive accessibility and performance", True)],
+    "app": [("primary task completion", True), ("navigation permissions and state recovery", True), ("platform interaction and visual system", False), ("offline accessibility and failure handling", True)],
+    "ui": [("task path and state coverage", True), ("layout hierarchy and component relationships", True), ("interaction motion and feedback", False), ("responsive and accessible behavior", True)],
+    "repository": [("requested behavior and outputs", True), ("architecture data and control flow", True), ("failure handling tests and operability", True), ("method transfer and project-specific boundary", False)],
+    "course": [("learning objective and factual correctness", True), ("concept dependency and teaching sequence", True), ("examples exercises feedback and assessment", False), ("prerequisites and transfer boundary", True)],
+    "mixed": [("new objective and required outputs", True), ("cross-source mechanism consistency", True), ("modality-specific quality", False), ("dependencies contradictions and boundaries", True)],
+}
+
+
+def evaluation_template(profiles: DataFrame, medium_col: str = "medium") -> DataFrame:
+    """profiles, each with position, name and hard_constraint of its medium's dimensions; aliases are followed, unknown media are mixed ones."""
+    table = F.create_map(*[x for m, ds in EVALUATION_DIMENSIONS.items() for x in (F.lit(m), F.array(*[F.struct(F.lit(n).alias("name"), F.lit(h).alias("hard_constraint")) for n, h in ds]))])
+    found = F.coalesce(F.try_element_at(table, medium(F.col(medium_col))), F.try_element_at(table, F.lit("mixed")))
+    return profiles.select("*", F.posexplode(found).alias("position", "_d")).select(*profiles.columns, "position", "_d.name", "_d.hard_constraint")
+
+
+def stage_rollup(stages: Column, required: list[str]) -> tuple[Column, Column]:
+    """Worst status of the required stages and the names, sorted, of all that a person must look at.
+
+    stages: map of name to (status, host_review_required); a required stage that is missing counts as failed.
+    """
+    from evidex.operators.timeline import STATUSES
+
+    rank = F.array(*map(F.lit, STATUSES))
+    of = F.transform(F.array(*map(F.lit, required)), lambda s: F.coalesce(F.try_element_at(stages, s)["status"], F.lit("failed")))
+    worst = F.element_at(rank, F.greatest(F.lit(1), F.array_max(F.transform(of, lambda s: F.array_position(rank, s))).cast("int")))
+    review = F.array_sort(F.map_keys(F.map_filter(stages, lambda _, v: F.coalesce(v["host_review_required"], F.lit(False)))))
+    return worst, review

@@ -127,6 +127,12 @@ def review_tasks(spark, d):
     return evidence.review_tasks(items)
 
 
+def evaluation_templates(spark, d):
+    media = F.array(*map(F.lit, [*evidence.EVALUATION_DIMENSIONS, *evidence.MEDIUM_ALIASES, "odd"]))
+    n = len(evidence.EVALUATION_DIMENSIONS) + len(evidence.MEDIUM_ALIASES) + 1
+    return evidence.evaluation_template(table(spark, d, "documents").select("doc_id", F.element_at(media, (F.col("doc_id") % n).cast("int") + 1).alias("medium")))
+
+
 def manifest_violations(spark, d):
     doc = table(spark, d, "documents")
     c = F.col
@@ -153,6 +159,8 @@ def capture_logs(spark, d):
 _paths = [("src/main.py", False, ".py", "Python", "src", False, True, False), ("tests/test_a.py", False, ".py", "Python", "tests", False, False, True), ("node_modules/x/index.js", True, ".js", "JavaScript", "node_modules", False, True, False), (".env", True, "", "Other", ".", False, False, False), ("docs/read.me.HTML", False, ".html", "HTML", "docs", False, False, False), ("web/app.tsx", False, ".tsx", "TypeScript", "web", False, True, False), ("keys/server.key", True, ".key", "Other", "keys", False, False, False), ("my-secrets.json", True, ".json", "Other", ".", False, False, False), ("Cargo.toml", False, ".toml", "Other", ".", True, False, False), ("a/b/spec_x.rb", False, ".rb", "Ruby", "a", False, False, True), ("LICENSE", False, "", "Other", ".", False, False, False), (".env.test", True, ".test", "Other", ".", False, False, False)]
 _values = ", ".join(f"({k}, '{p[0]}', {p[1]}, '{p[2]}', '{p[3]}', '{p[4]}', {p[5]}, {p[6]}, {p[7]})" for k, p in enumerate(_paths))
 _kinds = ", ".join(f"({k}, '{kind}', {pos}, '{dim}')" for k, kind in enumerate([*evidence.REVIEW_DIMENSIONS, "poem-analysis"]) for pos, dim in enumerate(evidence.REVIEW_DIMENSIONS.get(kind, evidence.REVIEW_DIMENSIONS["mixed-analysis"])))
+_media = [*evidence.EVALUATION_DIMENSIONS, *evidence.MEDIUM_ALIASES, "odd"]
+_templates = ", ".join(f"({k}, '{m}', {pos}, '{name}', {hard})" for k, m in enumerate(_media) for pos, (name, hard) in enumerate(evidence.EVALUATION_DIMENSIONS.get(evidence.MEDIUM_ALIASES.get(m, m), evidence.EVALUATION_DIMENSIONS["mixed"])))
 EVAL = """e AS (SELECT conv_id AS evaluation_id, turn, ['pass', 'pass', 'pass', 'fail', 'not_applicable'][CAST((conv_id * 7 + turn * 3) % 5 + 1 AS INTEGER)] AS v FROM conversations),
 r AS (SELECT evaluation_id, count(*) AS n, count(*) FILTER (v = 'pass') AS passed, count(*) FILTER (v = 'fail') AS failed, count(*) FILTER (turn % 2 = 0 AND v <> 'pass') AS unresolved FROM e GROUP BY evaluation_id)"""
 
@@ -168,6 +176,7 @@ QUERIES = {
     "profile_violations": (profile_violations, f"WITH {CARDS}, t AS (SELECT *, 'profile-' || CASE WHEN support_count >= 2 AND support_share >= 0.2 THEN 'stable' WHEN support_count >= 2 THEN 'conditional' ELSE 'observation' END AS entity FROM sup) SELECT DISTINCT entity, 'pattern_boundaries' AS rule FROM t UNION ALL SELECT DISTINCT entity, 'support_share' FROM t WHERE key LIKE '%5' UNION ALL SELECT DISTINCT t.entity, 'pattern_evidence' FROM t JOIN pat USING (key) WHERE transferable AND doc_id % 17 = 0"),
     "evaluation_verdicts": (evaluation_verdicts, f"WITH {EVAL} SELECT evaluation_id, passed, failed, unresolved FROM r"),
     "evaluation_violations": (evaluation_violations, f"WITH {EVAL}, x AS (SELECT *, evaluation_id % 2 = 0 AS p, evaluation_id % 3 = 0 AS has FROM r) SELECT evaluation_id AS entity, 'dimensions' AS rule FROM x WHERE n < 3 UNION ALL SELECT evaluation_id, 'pass_without_failures' FROM x WHERE p AND failed > 0 UNION ALL SELECT evaluation_id, 'pass_without_unresolved' FROM x WHERE p AND unresolved > 0 UNION ALL SELECT evaluation_id, 'pass_needs_three' FROM x WHERE p AND passed < 3 UNION ALL SELECT evaluation_id, 'fail_needs_revisions' FROM x WHERE NOT p AND NOT has UNION ALL SELECT evaluation_id, 'pass_has_no_revisions' FROM x WHERE p AND has"),
+    "evaluation_templates": (evaluation_templates, f"WITH m(k, medium, position, name, hard_constraint) AS (VALUES {_templates}) SELECT doc_id, medium, CAST(position AS INTEGER) AS position, name, hard_constraint FROM documents JOIN m ON k = doc_id % {len(_media)}"),
     "review_tasks": (review_tasks, f"WITH k(k, kind, position, dimension) AS (VALUES {_kinds}) SELECT doc_id, kind, CAST(position AS INTEGER) AS position, dimension FROM documents JOIN k ON k.k = doc_id % 12"),
     "manifest_violations": (manifest_violations, "WITH i AS (SELECT doc_id, 'manifest-' || lang AS m, 'doc-' || CASE WHEN doc_id % 101 = 100 THEN doc_id - 1 ELSE doc_id END AS id, CASE WHEN doc_id % 29 = 0 THEN 'failed' WHEN doc_id % 31 = 0 THEN 'odd' ELSE 'complete' END AS s FROM documents), g AS (SELECT * FROM i WHERE s <> 'failed') SELECT DISTINCT m AS entity, 'no_failed_items' AS rule FROM i WHERE s = 'failed' UNION ALL SELECT id, 'item_status' FROM g WHERE s = 'odd' UNION ALL SELECT id, 'analysis_there' FROM g WHERE doc_id % 37 = 0 UNION ALL SELECT id, 'analysis_status' FROM g WHERE doc_id % 37 <> 0 AND s = 'odd' UNION ALL SELECT id, 'analysis_id' FROM g WHERE doc_id % 37 <> 0 AND doc_id % 101 = 100 UNION ALL SELECT id, 'item_unique' FROM g GROUP BY id HAVING count(*) > 1"),
     "path_inventory": (path_inventory, f"WITH p(k, path, skipped, extension, language, top_folder, is_manifest, is_entrypoint, is_test) AS (VALUES {_values}) SELECT p.* EXCLUDE (k), count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents JOIN p ON k = doc_id % 12 GROUP BY ALL"),

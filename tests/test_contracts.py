@@ -90,3 +90,22 @@ def test_capture_log(spark):
 def test_folders(spark, path, inside):
     roots = spark.createDataFrame([("/a/b/",)], "root string")
     assert evidence.outside(spark.createDataFrame([(path,)], "path string"), roots).count() == int(not inside)
+
+
+def test_templates_stages_and_toml(spark):
+    p = spark.createDataFrame([("a", "Podcast"), ("b", "odd")], "profile_id string, medium string")
+    got = [(r.profile_id, r.position, r.hard_constraint) for r in evidence.evaluation_template(p).orderBy("profile_id", "position").collect()]
+    assert got == [("a", 0, True), ("a", 1, True), ("a", 2, False), ("a", 3, False), ("b", 0, True), ("b", 1, True), ("b", 2, False), ("b", 3, True)]
+    s = spark.sql("SELECT map('text', named_struct('status', 'complete', 'host_review_required', false), 'ocr', named_struct('status', 'partial', 'host_review_required', true)) AS s")
+    assert tuple(s.select(*evidence.stage_rollup(F.col("s"), ["text", "ocr"])).first()) == ("partial", ["ocr"])
+    assert s.select(evidence.stage_rollup(F.col("s"), ["text", "none"])[0]).first()[0] == "failed"
+    t = spark.createDataFrame([("x/pyproject.toml", '[project]\nname = "p"\ndependencies = ["b>=1", "a"]'), ("Cargo.toml", '[package]\nname = "c"\n[dependencies]\nserde = "1"'), ("y/pyproject.toml", "[")], "path string, text string")
+    assert {r.path: (r.name, r.dependencies, r.status) for r in inventory.toml_dependencies(t).collect()} == {"x/pyproject.toml": ("p", ["a", "b"], "complete"), "Cargo.toml": ("c", ["serde"], "complete"), "y/pyproject.toml": (None, [], "parse_failed")}
+
+
+def test_budget_of_results(spark):
+    from evidex.operators import library
+
+    rows = spark.createDataFrame([(k, "x" * 50) for k in range(5)], "rank int, text string")
+    one = len('{"rank":0,"text":"' + "x" * 50 + '"}') + 2
+    assert library.within_budget(rows, [F.col("rank")], 2 + 3 * one).count() == 3
