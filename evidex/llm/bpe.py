@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
+
 #: Entries of a worker's pre-token cache; it is emptied when full, so memory stays bounded.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 800_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -142,16 +144,6 @@ class PieceCache(dict):
         return packed
 
 
-#: Of this worker process: the latest rank table's caches, kept from task to task.
-_worker: dict = {}
-
-
-def worker_cache(key: str, ranks: dict[bytes, int]) -> PieceCache:
-    if _worker.get("key") != key:
-        _worker.update(key=key, cache=PieceCache(ByteBpe(ranks)))
-    return _worker["cache"]
-
-
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode every whole text, then decode the ids again.
 
@@ -171,7 +163,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     def encode(batches):
         import regex
 
-        cache, pieces = worker_cache(key, shared.value), regex.compile(pattern)
+        cache, pieces = worker_cache(("bpe", key), lambda: PieceCache(ByteBpe(shared.value))), regex.compile(pattern)
         bpe = cache.bpe
         for batch in batches:
             counts, ids_hash, text_hash, ids = [], [], [], []

@@ -64,3 +64,16 @@ def remainder(column: str, modulus: int):
 def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Broadcast hint only for a table whose counted rows stay within `most`; otherwise a shuffled join is planned."""
     return F.broadcast(df) if rows <= most else df
+
+
+#: Of this worker process: one operator's cache, kept from task to task.  A worker that goes on to another operator
+#: drops it, so a pipeline's workers never hold more than one.
+_worker: dict = {}
+
+
+def worker_cache(key, make):
+    """The cache made under an equal key, or a new one; key: name of the operator and what the cache depends on."""
+    if not _worker or _worker["key"] != key:
+        _worker.clear()
+        _worker.update(key=key, value=make())
+    return _worker["value"]

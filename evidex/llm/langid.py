@@ -10,6 +10,7 @@ through Viterbi side by side in numpy, one step for a word of each.
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_right
 
 import numpy as np
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
 from .subword import gram_ids
 
 BUCKETS = 1 << 16
@@ -105,18 +107,8 @@ class WordScores(dict):
         if new:
             n, words = len(self), list(new)
             self.update(zip(words, range(n, n + len(words)), strict=True))
-            for at in range(0, len(words), 50_000):
-                self.table[n + at : n + at + 50_000][: len(words) - at] = self.model.score(words[at : at + 50_000])
-
-
-#: Of this worker process: the latest model's words, kept from task to task.
-_worker: dict = {}
-
-
-def worker_words(shared) -> WordScores:
-    if _worker.get("of") is not shared.value:
-        _worker.update(of=shared.value, words=WordScores(shared.value))
-    return _worker["words"]
+            for at in range(0, len(words), 20_000):
+                self.table[n + at : n + at + 20_000][: len(words) - at] = self.model.score(words[at : at + 20_000])
 
 
 def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
@@ -184,12 +176,12 @@ def detect_languages(docs: DataFrame, training, id_col: str = "doc_id", text_col
     over whole texts; only the bounded sample goes to the driver.
     """
     model = train(training_sample(docs, id_col, text_col, lang_col, training))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double" + ", spans array<struct<lang:string,first_word:int,n_words:int>>" * with_spans
 
     def detected(batches):
         model = shared.value
-        cache = worker_words(shared)
+        cache = worker_cache(("langid", key), lambda: WordScores(model))
 
         def label(cells):
             found = [words_of(cell.as_py()) if model.langs else [] for cell in cells]

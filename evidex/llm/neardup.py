@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, worker_cache, written
 from .graph import components
 
 BANDS, ROWS, BITS = 42, 6, 512
@@ -60,10 +60,6 @@ class WordHashes(dict):
         return h
 
 
-#: Of this worker process, kept from task to task.
-_words = WordHashes()
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased."""
     return (text or "").encode("utf-8", "replace").lower().split()
@@ -79,7 +75,8 @@ def shingles(words: list[bytes], size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of `size` words; of fewer words, of the whole sequence; of none, nothing."""
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    hashes = worker_cache("neardup", WordHashes)
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     size = min(size, len(h))
     n = len(h) - size + 1
     out = np.full(n, size, np.uint64)

@@ -12,11 +12,14 @@ fit, so that a long text doesn't dilute a short passage.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
 from .subword import gram_ids
 
 BUCKETS = 1 << 17
@@ -25,7 +28,7 @@ GRAMS = (3, 4, 5, 6)
 WINDOW, STRIDE = 64, 16
 #: Bounds of the training sample: labelled rows of each class, and the longest text taken into it.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -39,6 +42,16 @@ def words_of(text: str | None) -> list[str]:
     return out
 
 
+def grams_by_word(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket ids of the words' n-grams, word by word, and how many each word has."""
+    ids, sizes = [], []
+    for at in range(0, len(words), 20_000):
+        owner, grams = gram_ids(words[at : at + 20_000], GRAMS, BUCKETS)
+        ids.append(grams.astype(np.int32))
+        sizes.append(np.bincount(owner, minlength=len(words[at : at + 20_000])))
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
 class Model:
     """n-gram values (embedding times softmax difference), bias, and the calibration of window scores."""
 
@@ -73,24 +86,29 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7, epochs: int
     found = [words_of(t) for t in texts]
     number = {w: i for i, w in enumerate(sorted(set().union(*found)))}
     docs = [np.fromiter(map(number.__getitem__, words), np.int64, len(words)) for words in found]
-    owners, flat = gram_ids(list(number), GRAMS, BUCKETS)
-    sizes = np.bincount(owners, minlength=len(number))
+    flat, sizes = grams_by_word(list(number))
     offsets = np.concatenate(([0], np.cumsum(sizes)))
     # instances: windows, so that training sees what scoring sees; a text's label holds for its windows until
     # the model itself tells which window of a toxic text is the toxic one
-    spans = []
+    tokens, spans, at = np.concatenate(docs), [], 0
     for k, d in enumerate(docs):
         n = len(d)
-        spans += [(k, a, min(a + WINDOW, n)) for a in range(0, max(1, n - WINDOW // 2), WINDOW)] if n else []
-    owner = np.array([s[0] for s in spans], np.int64)
+        spans += [(k, at + a, at + min(a + WINDOW, n)) for a in range(0, max(1, n - WINDOW // 2), WINDOW)] if n else []
+        at += n
+    owner, begin, end = (np.array(x, np.int64) for x in zip(*spans, strict=True))
     used = np.unique(flat)
-    compact = np.zeros(BUCKETS, np.int64)
+    compact = np.zeros(BUCKETS, np.int32)
     compact[used] = np.arange(len(used))
     flat = compact[flat]
-    bag_of = []
-    for k, a, b in spans:
-        w = docs[k][a:b]
-        bag_of.append(np.concatenate([flat[offsets[i] : offsets[i + 1]] for i in w]).astype(np.int32))
+    grams_before = np.concatenate(([0], np.cumsum(sizes[tokens])))
+
+    def bags(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """n-grams of the instances, one after another, and how many each has."""
+        words = np.concatenate([tokens[begin[i] : end[i]] for i in part])
+        n = sizes[words]
+        first = np.cumsum(n) - n
+        return flat[np.repeat(offsets[words] - first, n) + np.arange(n.sum())], grams_before[end[part]] - grams_before[begin[part]]
+
     rng = np.random.default_rng(seed)
     E = rng.normal(0, 0.1, (len(used), DIMENSIONS))
     W = rng.normal(0, 0.1, (DIMENSIONS, 2))
@@ -103,7 +121,8 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7, epochs: int
     for epoch in range(epochs):
         if epoch >= 2:  # from now on a toxic text is its best window
             v = E @ (W[:, 1] - W[:, 0])
-            score = np.array([v[g].mean() for g in bag_of])
+            by_word = np.concatenate(([0.0], np.cumsum(np.add.reduceat(v[flat], offsets[:-1])[tokens])))
+            score = (by_word[end] - by_word[begin]) / (grams_before[end] - grams_before[begin])
             order = np.lexsort((-score, owner))
             first = order[np.concatenate(([True], owner[order][1:] != owner[order][:-1]))]
             negatives = np.flatnonzero(y[owner] == 0)
@@ -116,8 +135,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7, epochs: int
         balance = np.where(y[owner] == 1, 0.5 / max(1, len(positives)), 0.5 / max(1, len(negatives))) * len(todo)
         for at in range(0, len(todo), batch):
             part = todo[at : at + batch]
-            lengths = np.array([len(bag_of[i]) for i in part])
-            grams = np.concatenate([bag_of[i] for i in part])
+            grams, lengths = bags(part)
             starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
             mean = np.add.reduceat(E[grams], starts) / lengths[:, None]
             z = mean @ W + b
@@ -181,23 +199,13 @@ class WordValues(dict):
         if len(self) + len(new) > CACHE_WORDS:
             self.clear()
             new = list(set().union(*texts))
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
             owner, grams = gram_ids(part, GRAMS, BUCKETS)
             sums, counts = np.bincount(owner, self.values[grams], len(part)), np.bincount(owner, minlength=len(part))
             self.update(zip(part, zip(sums.tolist(), counts.tolist(), strict=True), strict=True))
 
 
-#: Of this worker process: the latest model's words, kept from task to task.
-_worker: dict = {}
-
-
-def worker_words(shared) -> WordValues:
-    if _worker.get("of") is not shared.value:
-        _worker.update(of=shared.value, words=WordValues(shared.value.values))
-    return _worker["words"]
-
-
 def toxicity_scores(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """id_col, score (0 to 1) and predicted (1 if score >= 0.5) of every row of docs.
 
@@ -209,12 +217,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, training, id_col: str =
     narrow map over whole texts; only the sample goes to the driver.
     """
     model = train(*labelled_sample(docs, labels, id_col, text_col, label_col, training))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double, predicted int"
 
     def scored(batches):
         model = shared.value
-        words = worker_words(shared)
+        words = worker_cache(("toxicity", key), lambda: WordValues(model.values))
         for batch in batches:
             out = []
             for at in range(0, batch.num_rows, 256):
@@ -232,10 +240,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, training, id_col: str =
 def without_toxic(docs: DataFrame, labels: DataFrame, training, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """The rows of docs whose score stays below the threshold, with all their columns; see toxicity_scores for nulls and ties."""
     model = train(*labelled_sample(docs, labels, id_col, text_col, label_col, training))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
     def passed(batches):
-        model, words = shared.value, worker_words(shared)
+        model = shared.value
+        words = worker_cache(("toxicity", key), lambda: WordValues(model.values))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
