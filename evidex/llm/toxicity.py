@@ -83,9 +83,8 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7, epochs: int
     share = float(y.mean()) if len(y) else 0.0
     if not len(y) or share in (0.0, 1.0) or not any(words_of(t) for t in texts):
         return Model(np.zeros(BUCKETS), 0.0, np.log(max(share, 1e-3) / max(1 - share, 1e-3)), share)
-    found = [words_of(t) for t in texts]
-    number = {w: i for i, w in enumerate(sorted(set().union(*found)))}
-    docs = [np.fromiter(map(number.__getitem__, words), np.int64, len(words)) for words in found]
+    number: dict[str, int] = {}
+    docs = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int64) for t in texts]
     flat, sizes = grams_by_word(list(number))
     offsets = np.concatenate(([0], np.cumsum(sizes)))
     # instances: windows, so that training sees what scoring sees; a text's label holds for its windows until
