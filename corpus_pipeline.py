@@ -18,13 +18,24 @@ from evidex.llm.pii import find_pii
 from evidex.llm.toxicity import without_toxic
 
 
+#: Rows that go to a Python worker at once: texts can be long, and two workers share an executor with its heap.
+BATCH_ROWS = 1000
+
+
+def _bounded(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score, learned from all labelled rows, stays below 0.5."""
+    _bounded(spark)
     return without_toxic(docs, read_table(spark, sf_dir, "labels"), F.lit(True))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group linked at 0.8 on five-word shingles."""
+    _bounded(spark)
     gone = written(near_duplicates(docs, size=5, percent=80).where("NOT kept").select("doc_id").distinct(), "pipeline-gone")
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
 
@@ -46,6 +57,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, their number, and hashes of the ids and of what they decode to."""
+    _bounded(spark)
     return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -75,5 +78,8 @@ def worker_cache(key, make):
     """The cache made under an equal key, or a new one; key: name of the operator and what the cache depends on."""
     if not _worker or _worker["key"] != key:
         _worker.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # give what the old cache took back to the system (glibc)
+            ctypes.CDLL(None).malloc_trim(0)
         _worker.update(key=key, value=make())
     return _worker["value"]

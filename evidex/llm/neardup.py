@@ -33,7 +33,7 @@ SIGMAS = 4.5
 BLOCK = 256
 #: Ids up to which the candidates' table is broadcast against the documents (8 bytes each).
 BROADCAST_IDS = 1_000_000
-WORDS_CACHED = 500_000
+WORDS_CACHED = 250_000
 
 _rng = np.random.default_rng(20)
 MULTIPLY = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -28,7 +28,7 @@ GRAMS = (3, 4, 5, 6)
 WINDOW, STRIDE = 64, 16
 #: Bounds of the training sample: labelled rows of each class, and the longest text taken into it.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 def words_of(text: str | None) -> list[str]:
