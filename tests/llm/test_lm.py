@@ -82,3 +82,47 @@ def test_automaton_is_a_distribution_and_equals_plain_backoff():
         for a, b, c in zip(s, s[1:], s[2:]):
             want += math.log10(plain(c, a, b))
         assert abs(want - score) < 1e-6
+
+
+@pytest.mark.parametrize("head, arcs", [(131_072, 600_000), (6, 600_000), (131_072, 3)])
+def test_all_grams_count_whatever_the_bounds(spark, monkeypatch, head, arcs):
+    """Scores equal a plain backoff model over all n-grams counted twice, be they broadcast or looked up."""
+    monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "MOST_ARCS", arcs)
+    data = rows()
+    uni, bi, tri = Counter(), Counter(), Counter()
+    for i, t in data:
+        if i % 5 != 1:
+            k = tokens(t)
+            uni.update(k)
+            bi.update(zip([None, *k], k))
+            tri.update(zip([None, *k], k, k[1:]))
+    n = sum(uni.values()) + 0.5 * (len(uni) + 1)
+    one = lambda w: (uni[w] + 0.5) / n
+    part = lambda c, of: (c - lm.DISCOUNT) / of
+    clip = lambda x: min(max(x, 1e-9), 1)
+    after, after2 = {}, {}
+    for (v, w), c in bi.items():
+        if c >= 2:
+            after.setdefault(v, {})[w] = part(c, uni[v])
+    for (u, v, w), c in tri.items():
+        if c >= 2:
+            after2.setdefault((u, v), {})[w] = part(c, bi[u, v])
+
+    def two(w, v):
+        a = after.get(v, {})
+        return a[w] if w in a else clip(1 - sum(a.values())) / clip(1 - sum(map(one, a))) * one(w) if a else one(w)
+
+    def three(w, u, v):
+        a = after2.get((u, v), {})
+        return a[w] if w in a else clip(1 - sum(a.values())) / clip(1 - sum(two(x, v) for x in a)) * two(w, v) if a else two(w, v)
+
+    def score(t):
+        k = tokens(t)
+        s = [None, *k]
+        return math.log10(two(k[0], None)) + sum(math.log10(three(w, u, v)) for u, v, w in zip(s, s[1:], s[2:]))
+
+    df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    got = sorted((r.doc_id, round(r.score, 4)) for r in lm.lm_scores(df, F.col("doc_id") % 5 != 1).collect())
+    want = sorted((i, round(score(t), 4)) for i, t in data)
+    assert [i for i, _ in got] == [i for i, _ in want] and all(abs(a[1] - b[1]) < 1e-3 for a, b in zip(got, want))
