@@ -2,11 +2,12 @@
 
 Every distinct vector keeps a list of its NEIGHBOURS nearest by cosine.  Random
 hyperplane buckets give first lists; each round then joins, at every vector, the
-neighbours of its neighbours (both ways) and keeps what is nearer.  All pairs met
-at the threshold are links.  A vector whose list is saturated (full of links) has
-its list enlarged to its whole component, compared in blocks.  An audit compares
-a bounded sample of vectors with all others; below RECALL more buckets and
-rounds follow.
+neighbours of its neighbours (both ways) and keeps what is nearer.  Of all pairs
+met at the threshold enough are links to connect what they connect.  A vector
+whose list is saturated (full of links) has its list enlarged to its whole
+component, compared in blocks, and meets vectors of other components in buckets
+of its own.  An audit compares a bounded sample of vectors with all others; below
+RECALL more buckets and rounds follow.
 """
 
 from __future__ import annotations
@@ -41,8 +42,29 @@ def _pairs(a, b, s) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "s": pa.array(s, pa.float64())})
 
 
+def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of links that connect all that `linked` (symmetric) connects: each vector reached is linked with the one it was reached from."""
+    a, b = [], []
+    todo = linked.any(1)
+    while todo.any():
+        first = int(todo.argmax())
+        todo[first] = False
+        queue = [first]
+        while queue:
+            at = queue.pop()
+            new = np.flatnonzero(linked[at] & todo)
+            todo[new] = False
+            a.append(np.full(len(new), at))
+            b.append(new)
+            queue += new.tolist()
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def local_join(table: pa.Table, threshold: float) -> pa.Table:
-    """Pairs of a group that are nearer than the k-th of the first one's list, at most NEIGHBOURS each, and all links found among them."""
+    """Pairs of a group that are nearer than the k-th of the first one's list, at most NEIGHBOURS each, and links that connect all linked among them.
+
+    With a column g, only pairs of different g.
+    """
     c, kth = table["c"].to_numpy(), table["k"].to_numpy()
     c, first = np.unique(c, return_index=True)
     if len(c) < 2:
@@ -50,13 +72,18 @@ def local_join(table: pa.Table, threshold: float) -> pa.Table:
     x = unit(matrix(table["v"])[first])
     s = x @ x.T
     np.fill_diagonal(s, -2)
+    if "g" in table.column_names:
+        g = table["g"].to_numpy()[first]
+        s[g[:, None] == g] = -2
     n = min(NEIGHBOURS, len(c) - 1)
     near = np.argpartition(-s, n - 1, axis=1)[:, :n]
     a = np.repeat(np.arange(len(c)), n)
     b = near.ravel()
     value = s[a, b]
-    better = (value > kth[first][a]) | (value >= threshold)
-    return _pairs(c[a[better]], c[b[better]], value[better])
+    better = ((value > kth[first][a]) | (value >= threshold)) & (value > -2)
+    i, j = spanning(s >= threshold)
+    a, b = np.concatenate((a[better], i)), np.concatenate((b[better], j))
+    return _pairs(c[a], c[b], s[a, b])
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -92,6 +119,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
             lists = then
             if changed < UPDATES * n * NEIGHBOURS:
                 break
+        hits = hits.unionAll(written(_between(classes, hits, lists, n, longest, attempt, threshold), "nn-between"))
         if _recall(classes, hits, threshold) >= RECALL:
             break
     links = written(hits.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "nn-links")
@@ -111,12 +139,13 @@ def _salted(keys: list[str], rows: DataFrame, most: int) -> DataFrame:
     return rows.join(sizes, keys).withColumn("salt", F.pmod(F.xxhash64("c", *keys), F.col("parts")).cast("int")).drop("parts")
 
 
-def _buckets(classes: DataFrame, n: int, longest: int, attempt: int, threshold: float) -> DataFrame:
+def _buckets(classes: DataFrame, n: int, longest: int, attempt: int, threshold: float, seed: int = 100) -> DataFrame:
+    """Pairs met in buckets; classes may bring g, then only pairs of different g."""
     bits = max(0, min(24, math.ceil(math.log2(max(1, n / (BUCKET // 4))))))
     tables = TABLES * (1 + attempt)
 
     def coded(batches):
-        planes = np.random.default_rng(100 + attempt).normal(size=(longest, tables * bits))
+        planes = np.random.default_rng(seed + attempt).normal(size=(longest, tables * bits))
         weights = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
             c, length = batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy()
@@ -127,7 +156,7 @@ def _buckets(classes: DataFrame, n: int, longest: int, attempt: int, threshold:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(c[rows], tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows))), pa.array(codes.ravel().astype(np.int64) * 4096 + size), pa.array(np.full(len(rows) * tables, -2.0))], names=["c", "t", "code", "k"])
 
     codes = written(classes.select("c", "v").mapInArrow(coded, "c bigint, t int, code bigint, k double"), "nn-codes")
-    salted = _salted(["t", "code"], codes, BUCKET).join(classes.select("c", "v"), "c")
+    salted = _salted(["t", "code"], codes, BUCKET).join(classes.drop("m"), "c")
     return salted.groupBy("t", "code", "salt").applyInArrow(lambda table: local_join(table, threshold), "a bigint, b bigint, s double")
 
 
@@ -149,6 +178,14 @@ def _descent(classes: DataFrame, lists: DataFrame, threshold: float) -> DataFram
     return met.groupBy("p", "salt").applyInArrow(lambda table: local_join(table, threshold), "a bigint, b bigint, s double")
 
 
+def _between(classes: DataFrame, hits: DataFrame, lists: DataFrame, n: int, longest: int, attempt: int, threshold: float) -> DataFrame:
+    """Links of saturated vectors, whose lists hold nothing but links, with other components: they meet in new buckets, own components left out."""
+    full = lists.where(F.col("s") >= threshold).groupBy("a").count().where(F.col("count") >= NEIGHBOURS).select(F.col("a").alias("c"))
+    groups = written(components(hits.select(F.col("a").alias("u"), F.col("b").alias("v"))), "nn-between-groups")
+    some = written(classes.join(full, "c").join(groups.select(F.col("id").alias("c"), F.col("component").alias("g")), "c").select("c", "v", "g"), "nn-full")
+    return _buckets(some, some.count(), longest, attempt, threshold, seed=200).where(F.col("s") >= threshold)
+
+
 def _recall(classes: DataFrame, hits: DataFrame, threshold: float) -> float:
     """Share of a sample's true link partners that lie in the same component by the links found.
 

@@ -58,3 +58,12 @@ def test_few_repeated_and_none(spark):
     got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embdup.near_vectors(df).collect())
     assert got == [(0, 0, 0, True), (1, 1, 1, True), (3, 1, 1, False), (3, 1, 1, False)]
     assert embdup.near_vectors(df.limit(0)).count() == 0
+
+
+def test_two_tight_clumps_linked_with_each_other(spark):
+    """Each vector's nearest are all of its own clump; the links across are found all the same."""
+    rng = np.random.default_rng(4)
+    one, two = np.eye(16)[0], 0.93 * np.eye(16)[0] + np.sqrt(1 - 0.93**2) * np.eye(16)[1]
+    rows = [(i, [float(x) for x in (one if i < 20 else two) + rng.normal(size=16) * 0.002]) for i in range(40)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embdup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == brute(rows) and set(got.values()) == {(39, 0, True), (39, 0, False)}
