@@ -6,8 +6,9 @@ neighbours of its neighbours (both ways) and keeps what is nearer.  Of all pairs
 met at the threshold enough are links to connect what they connect.  A vector
 whose list is saturated (full of links) has its list enlarged to its whole
 component, compared in blocks, and meets vectors of other components in buckets
-of its own.  An audit compares a bounded sample of vectors with all others; below
-RECALL more buckets and rounds follow.
+of its own.  An audit compares samples of vectors with all others until it has
+seen LINKS true links; below RECALL more buckets and rounds follow, and at last
+all pairs are compared in blocks.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from .graph import components
 
 NEIGHBOURS, TABLES, BUCKET, JOIN, BLOCK = 8, 6, 256, 128, 512
 ROUNDS, UPDATES = 3, 0.02  # NN-descent stops after ROUNDS, or when a round changes a smaller share of the lists
-AUDIT, RECALL, RETRIES = 256, 0.97, 3  # vectors audited, recall asked for, further attempts
+AUDIT, RECALL, RETRIES = 256, 0.97, 3  # vectors first audited, recall asked for, further attempts
+LINKS, MOST_AUDIT = 500, 8192  # true links an audit has to see, vectors audited at once
 
 
 def matrix(column) -> np.ndarray:
@@ -120,8 +122,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
             if changed < UPDATES * n * NEIGHBOURS:
                 break
         hits = hits.unionAll(written(_between(classes, hits, lists, n, longest, attempt, threshold), "nn-between"))
-        if _recall(classes, hits, threshold) >= RECALL:
+        if _recall(classes, hits, threshold, n) >= RECALL:
             break
+    else:
+        hits = _all_pairs(classes, n, threshold)
     links = written(hits.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "nn-links")
     groups = written(components(links), "nn-groups")
     counts = _counted(classes, groups, threshold)
@@ -186,13 +190,42 @@ def _between(classes: DataFrame, hits: DataFrame, lists: DataFrame, n: int, long
     return _buckets(some, some.count(), longest, attempt, threshold, seed=200).where(F.col("s") >= threshold)
 
 
-def _recall(classes: DataFrame, hits: DataFrame, threshold: float) -> float:
-    """Share of a sample's true link partners that lie in the same component by the links found.
+def _all_pairs(classes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Links that connect all linked vectors, from all pairs compared in blocks."""
+    blocks = max(1, math.ceil(n / (2 * BLOCK)))
+    placed = classes.withColumn("block", F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int")).withColumn("size", F.size("v"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("size", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "c", "v")
 
-    The sample is bounded (AUDIT vectors by a hash of the id) and broadcast; each task
-    compares its vectors with it and gives back links only.
+    def compared(table: pa.Table) -> pa.Table:
+        c, x = table["c"].to_numpy(), unit(matrix(table["v"]))
+        s = x @ x.T
+        np.fill_diagonal(s, -2)
+        a, b = spanning(s >= threshold)
+        return _pairs(c[a], c[b], s[a, b])
+
+    return dealt.groupBy("size", "i", "j").applyInArrow(compared, "a bigint, b bigint, s double")
+
+
+def _recall(classes: DataFrame, hits: DataFrame, threshold: float, n: int) -> float:
+    """Share of true link partners that lie in the same component by the links found.
+
+    Samples by a hash of the id, the first of about AUDIT vectors and later ones
+    larger, until LINKS true links are seen or all vectors are audited.
     """
-    sample = classes.orderBy(F.xxhash64("c"), "c").limit(AUDIT).select("c", "v").collect()
+    groups = written(components(hits.select(F.col("a").alias("u"), F.col("b").alias("v"))), "nn-audit")
+    parts = math.ceil(n / AUDIT)
+    part = F.pmod(F.xxhash64("c"), F.lit(parts))
+    at, size, seen, same = 0, 1, 0, 0
+    while at < parts and seen < LINKS:
+        more, found = _audited(classes, groups, threshold, (part >= at) & (part < at + size))
+        seen, same, at, size = seen + more, same + found, at + size, min(4 * size, MOST_AUDIT // AUDIT)
+    dropped(groups)
+    return same / seen if seen else 1.0
+
+
+def _audited(classes: DataFrame, groups: DataFrame, threshold: float, among) -> tuple[int, int]:
+    """True links of the vectors that `among` picks (they are broadcast), and how many of them lie in one component; each task gives back links only."""
+    sample = classes.where(among).select("c", "v").collect()
     ids, values = np.array([r[0] for r in sample], np.int64), [np.array(r[1]) for r in sample]
     shared = classes.sparkSession.sparkContext.broadcast((ids, values))
 
@@ -210,10 +243,8 @@ def _recall(classes: DataFrame, hits: DataFrame, threshold: float) -> float:
                     yield pa.RecordBatch.from_arrays([pa.array(ids[of[i[differ]]]), pa.array(c[rows[j[differ]]])], names=["a", "b"])
 
     true = classes.select("c", "v").mapInArrow(compared, "a bigint, b bigint")
-    groups = components(hits.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = true.join(groups.select(F.col("id").alias("a"), F.col("component").alias("ga")), "a", "left").join(groups.select(F.col("id").alias("b"), F.col("component").alias("gb")), "b", "left")
-    n, same = placed.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("ga") == F.col("gb"), 1)), F.lit(0))).first()
-    return same / n if n else 1.0
+    return tuple(placed.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("ga") == F.col("gb"), 1)), F.lit(0))).first())
 
 
 def _counted(classes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:

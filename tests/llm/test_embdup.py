@@ -67,3 +67,23 @@ def test_two_tight_clumps_linked_with_each_other(spark):
     rows = [(i, [float(x) for x in (one if i < 20 else two) + rng.normal(size=16) * 0.002]) for i in range(40)]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embdup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
     assert got == brute(rows) and set(got.values()) == {(39, 0, True), (39, 0, False)}
+
+
+def test_all_pairs_where_the_search_finds_nothing(spark, monkeypatch):
+    """A search below the recall asked for ends in the comparison of all pairs."""
+    monkeypatch.setattr(embdup, "_buckets", lambda classes, *args, **more: classes.sparkSession.createDataFrame([], "a bigint, b bigint, s double"))
+    monkeypatch.setattr(embdup, "RETRIES", 0)
+    monkeypatch.setattr(embdup, "BLOCK", 40)
+    rows = data()
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embdup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == brute(rows)
+
+
+def test_audit_goes_on_until_it_sees_links(spark):
+    """One linked pair among 1,500 vectors: no small sample holds it."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 24))
+    x[1] = x[0] * 2 + 0.01
+    classes = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "c bigint, v array<double>, m bigint")
+    none = spark.createDataFrame([], "a bigint, b bigint, s double")
+    assert embdup._recall(classes, none, 0.9, 1500) == 0.0
