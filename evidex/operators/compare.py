@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidex.functions import text as T
 from evidex.operators.corpus import style_metrics
 
+MOST_ITEMS = 2048  # items whose trigrams are broadcast; more are joined
+
 # Weights of the measures by mode.
 WEIGHTS = {
     "faithful": {"sentence_length": 1.0, "paragraph_length": 1.0, "sentence_length_distribution": 0.8, "lexical_diversity": 0.8, "question_share": 0.5, "exclamation_share": 0.5, "heading_share": 0.6, "list_share": 0.6, "rhetorical_marker_profile": 1.2, "length": 0.7, "surface_content_overlap": 2.0},
@@ -24,6 +28,35 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))
 
 
+def overlaps(items: DataFrame, docs: DataFrame, item_col: str, doc_col: str, text_col: str = "text") -> DataFrame:
+    """Trigram Jaccard of every pair of an item and a document that share a trigram."""
+    a = items.select(F.col(item_col).cast("bigint").alias("item_id"), trigrams(text_col).alias("g"))
+    b = docs.select(F.col(doc_col).cast("bigint").alias("doc_id"), trigrams(text_col).alias("h"))
+    if items.count() > MOST_ITEMS:
+        left, right = a.select("item_id", F.size("g").alias("n"), F.explode("g").alias("t")), b.select("doc_id", F.size("h").alias("m"), F.explode("h").alias("t"))
+        pairs = right.join(left, "t").groupBy("item_id", "doc_id", "n", "m").agg(F.count("*").alias("c"))
+        return pairs.select("item_id", "doc_id", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("overlap"))
+    rows = a.where("g IS NOT NULL").collect()
+    where: dict[str, list[int]] = {}
+    for k, r in enumerate(rows):
+        for t in r.g:
+            where.setdefault(t, []).append(k)
+    shared = docs.sparkSession.sparkContext.broadcast((np.array([r.item_id for r in rows], np.int64), np.array([len(r.g) for r in rows], np.int64), {t: np.array(k) for t, k in where.items()}))
+
+    def met(batches):
+        ids, sizes, where = shared.value
+        for batch in batches:
+            for doc, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                grams = cell.as_py() or []
+                found = [where[t] for t in grams if t in where]
+                if found:
+                    both = np.bincount(np.concatenate(found), minlength=len(ids))
+                    at = np.flatnonzero(both)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([doc] * len(at), pa.int64()), pa.array(both[at] / (sizes[at] + len(grams) - both[at]))], names=["item_id", "doc_id", "overlap"])
+
+    return b.mapInArrow(met, "item_id bigint, doc_id bigint, overlap double")
+
+
 def cosine(pairs: list[tuple[Column, Column]]) -> Column:
     dot = sum((a * b for a, b in pairs[1:]), pairs[0][0] * pairs[0][1])
     norm = lambda k: F.sqrt(sum((p[k] * p[k] for p in pairs[1:]), pairs[0][k] * pairs[0][k]).cast("double"))
