@@ -25,7 +25,7 @@ from .subword import gram_ids
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 GRAMS = (3, 4, 5, 6)
-WINDOW, STRIDE = 64, 16
+WINDOW = 64
 #: Bounds of the training sample: labelled rows of each class, and the longest text taken into it.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
 CACHE_WORDS = 200_000
@@ -65,7 +65,7 @@ class Model:
 
 
 def top_window(sums: np.ndarray, counts: np.ndarray) -> float | None:
-    """Highest mean n-gram value over windows of WINDOW words, STRIDE apart, the last one ending with the text."""
+    """Highest mean n-gram value over all windows of WINDOW words."""
     n = len(sums)
     if not n:
         return None
@@ -73,8 +73,13 @@ def top_window(sums: np.ndarray, counts: np.ndarray) -> float | None:
     if n <= WINDOW:
         # a short text is filled up to a window's size with neutral n-grams, else one word alone would decide
         return float(s[n] / (c[n] * max(1.0, (WINDOW / n) ** 0.7)))
-    starts = np.append(np.arange(0, n - WINDOW, STRIDE), n - WINDOW)
-    return float(np.max((s[starts + WINDOW] - s[starts]) / (c[starts + WINDOW] - c[starts])))
+    return float(np.max((s[WINDOW:] - s[:-WINDOW]) / (c[WINDOW:] - c[:-WINDOW])))
+
+
+def window_starts(n: int) -> list[int]:
+    """First words of a training text's windows: WINDOW apart, and one that ends with the text."""
+    starts = list(range(0, max(1, n - WINDOW // 2), WINDOW))
+    return starts + [n - WINDOW] * (starts[-1] + WINDOW < n)
 
 
 def train(texts: list[str | None], labels: list[int], seed: int = 7, epochs: int = 5, batch: int = 64, rate: float = 0.05) -> Model:
@@ -92,7 +97,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7, epochs: int
     tokens, spans, at = np.concatenate(docs), [], 0
     for k, d in enumerate(docs):
         n = len(d)
-        spans += [(k, at + a, at + min(a + WINDOW, n)) for a in range(0, max(1, n - WINDOW // 2), WINDOW)] if n else []
+        spans += [(k, at + a, at + min(a + WINDOW, n)) for a in window_starts(n)] if n else []
         at += n
     owner, begin, end = (np.array(x, np.int64) for x in zip(*spans, strict=True))
     used = np.unique(flat)

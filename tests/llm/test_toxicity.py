@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from evidex.llm import toxicity
 from evidex.llm.subword import gram_ids
 from evidex.llm.toxicity import toxicity_scores
 
@@ -45,3 +47,15 @@ def test_subwords_are_shared():
     owner, ids = gram_ids(["grumzok", "grumzokkery", "ab"], (3, 4), 1 << 20)
     assert len(set(ids[owner == 0]) & set(ids[owner == 1])) >= 10
     assert (owner == 2).sum() == 1 + 2 + 1
+
+
+def test_all_windows_are_scored_and_all_words_trained_on():
+    rng = np.random.default_rng(5)
+    sums, counts = rng.normal(size=300), rng.integers(1, 9, 300)
+    want = max(sums[a : a + 64].sum() / counts[a : a + 64].sum() for a in range(300 - 63))
+    assert abs(toxicity.top_window(sums, counts) - want) < 1e-9
+    sums = np.zeros(300)
+    sums[37:101] = 1.0  # 64 words that no window starting at a multiple of 16 holds
+    assert abs(toxicity.top_window(sums, np.ones(300, int)) - 1) < 1e-9
+    for n in range(1, 400):
+        assert set(range(n)) == {w for a in toxicity.window_starts(n) for w in range(a, min(a + 64, n))}
