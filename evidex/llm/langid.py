@@ -24,8 +24,9 @@ from .subword import gram_ids
 BUCKETS = 1 << 16
 GRAMS = (2, 3, 4, 5)
 SWITCH = 9.0  # log score that a switch of language costs
-#: Bounds of the training sample: rows of each language, the longest text taken into it, and languages.
-SAMPLE_ROWS, SAMPLE_CHARS, MOST_LANGS = 600, 20_000, 256
+#: Bounds of the training sample: rows of each language, and the longest text taken into it; of a language that has
+#: longer ones only, its LONG_ROWS shortest.
+SAMPLE_ROWS, SAMPLE_CHARS, LONG_ROWS = 600, 20_000, 5
 CACHE_WORDS = 400_000
 LANES = 512  # texts that walk side by side
 
@@ -113,7 +114,7 @@ class WordScores(dict):
 
 def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
     """Best label of each word, for many texts at once; ties go to staying, then to the first language."""
-    out: list[np.ndarray] = [np.zeros(len(s), np.int8) for s in scores]
+    out: list[np.ndarray] = [np.zeros(len(s), np.int32) for s in scores]
     order = sorted((i for i in range(len(scores)) if len(scores[i])), key=lambda i: -len(scores[i]))
     for at in range(0, len(order), LANES):
         lanes = order[at : at + LANES]
@@ -125,11 +126,11 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
         by_step = np.empty((first[-1], scores[lanes[0]].shape[1]), np.float32)
         for lane, i in enumerate(lanes):
             by_step[first[: lengths[lane]] + lane] = scores[i]
-        stay, best = np.ones(by_step.shape, bool), np.zeros(len(by_step), np.int8)
-        label = np.zeros(len(by_step), np.int8)
+        stay, best = np.ones(by_step.shape, bool), np.zeros(len(by_step), np.int32)
+        label = np.zeros(len(by_step), np.int32)
         rows = np.arange(len(lanes))
         v = by_step[: active[0]].copy()
-        ends = np.zeros(len(lanes), np.int8)
+        ends = np.zeros(len(lanes), np.int32)
         for t in range(1, steps):
             a, lo = active[t], first[t]
             if a < len(v):
@@ -154,14 +155,20 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, training) -> list[tuple[str, str]]:
-    """At most SAMPLE_ROWS rows of each language with a text of at most SAMPLE_CHARS, by the order of a hash of the id."""
+    """At most SAMPLE_ROWS rows of each language with a text of at most SAMPLE_CHARS, by the order of a hash of the id; of all languages."""
     rows = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
-    langs = [r[0] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MOST_LANGS).collect()]
+    langs = rows.groupBy("_lang").agg(F.min(F.length("_text")).alias("_least")).orderBy("_lang").collect()
+    short = [r[0] for r in langs if r[1] <= SAMPLE_CHARS]
+    long = [r[0] for r in langs if r[1] > SAMPLE_CHARS]
     # ids first: what tasks send to the driver to be ranked then holds no text
-    ids = rows.where(F.length("_text") <= SAMPLE_CHARS).select("_id", "_lang")
-    chosen = [r for lang in langs for r in ids.where(F.col("_lang") == lang).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(SAMPLE_ROWS).collect()]
-    table = docs.sparkSession.createDataFrame(list(dict.fromkeys(chosen)), ids.schema)
-    found = rows.where(F.length("_text") <= SAMPLE_CHARS).join(F.broadcast(table), ["_id", "_lang"]).select("_text", "_lang")
+    fits = (F.length("_text") <= SAMPLE_CHARS) | F.col("_lang").isin(long)
+    ids = rows.where(fits).select("_id", "_lang", F.length("_text").alias("_chars"))
+    order = F.xxhash64(F.col("_id").cast("string")), "_id"
+    picked = [ids.where(F.col("_lang") == lang).orderBy(*order).limit(SAMPLE_ROWS) for lang in short]
+    picked += [ids.where(F.col("_lang") == lang).orderBy("_chars", *order).limit(LONG_ROWS) for lang in long]
+    chosen = [(r[0], r[1]) for part in picked for r in part.collect()]
+    table = docs.sparkSession.createDataFrame(list(dict.fromkeys(chosen)), ids.drop("_chars").schema)
+    found = rows.where(fits).join(F.broadcast(table), ["_id", "_lang"]).select("_text", "_lang")
     return sorted({(r[0], r[1]) for r in found.collect()})
 
 

@@ -43,3 +43,17 @@ def test_mixed_and_odd_texts(spark):
 def test_nothing_to_learn(spark):
     assert {r.lang_pred for r in detect_languages(rows(spark), F.lit(False)).collect()} == {"und"}
     assert detect_languages(rows(spark).limit(0), F.lit(True)).count() == 0
+
+
+def test_languages_with_long_texts_only_are_learned(spark):
+    short = [(i, "the house and the garden are green", "en") for i in range(20)]
+    long = [(100 + i, "дом и сад сегодня зеленые " * 1000, "ru") for i in range(8)]
+    docs = spark.createDataFrame(short + long + [(200, "сад и дом", None)], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in detect_languages(docs, F.lit(True)).collect()}
+    assert got[200] == "ru" and got[100] == "ru" and got[0] == "en"
+
+
+def test_labels_beyond_one_byte():
+    scores = np.full((4, 300), -5.0, np.float32)
+    scores[:, 290] = 0
+    assert viterbi([scores])[0].tolist() == [290] * 4
