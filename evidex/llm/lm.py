@@ -6,9 +6,9 @@ unigram model) become an automaton: a state for each context that has arcs, an
 arc for each n-gram kept, and a failure arc, weighted by the context's backoff,
 to the next shorter context.  One left-to-right traversal carries the state,
 follows arcs and failures, and sums log10 probabilities; many texts walk side by
-side in numpy.  Where the kept n-grams are too many to broadcast, or are of words
-beyond the broadcast head of the vocabulary, they stay in tables and every token
-finds its arcs and failures there by joins: the same scores by another way.
+side in numpy.  That form needs the whole automaton in a worker, so it is for
+corpora of at most MOST_CHARS characters; larger ones score by the same automaton in
+partitions of its states (lm_parts), whatever their size.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import written
+from .lm_parts import part_scores
 
-#: Bounds of what is broadcast: words, and arcs of each order; beyond them n-grams are looked up by joins.
-HEAD, MOST_ARCS = 131_072, 600_000
+#: Characters of all texts up to which the automaton is broadcast whole: half as many words, and n-grams of each order, at most.
+MOST_CHARS = 4_000_000
 DISCOUNT = 0.75
 LANES = 2048
 FLUSH = 400_000  # distinct words counted in a task before they are passed on
@@ -200,103 +201,10 @@ def _counts(held: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["_key", "_n"])
 
 
-def _cut(counts: DataFrame, most: int) -> int:
-    """The lowest count such that at most `most` rows have it or a higher one, from the counts' histogram.
-
-    A cut by count needs no ranking: no task sends its own best `most` rows anywhere.
-    Counts above 100,000 are one class, which can't have more than `most` rows before
-    there are most * 100,000 tokens; beyond that the histogram is by powers of two.
-    """
-    for bucket in (F.least("_c", F.lit(100_000)), F.pow(F.lit(2.0), F.floor(F.log2("_c"))).cast("bigint")):
-        cut, kept = 1 << 62, 0
-        for c, n in counts.groupBy(bucket.alias("_b")).count().orderBy(F.desc("_b")).collect():
-            if kept + n > most:
-                break
-            cut, kept = c, kept + n
-        if kept:
-            break
-    return cut
-
-
-def kept_grams(counts: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
-    """Those counted at least twice, keys ascending; None if they are more than MOST_ARCS."""
-    counts = written(counts.where("_c >= 2"), "lm-grams")
-    table = counts.toArrow() if counts.count() <= MOST_ARCS else None
-    dropped(counts)
-    return None if table is None else _sorted(table["_key"].to_numpy(), table["_c"].to_numpy())
-
-
-def _tail_seed(ids: DataFrame) -> int:
-    """A seed under which no two words beyond the head have the same key."""
-    for seed in range(64):
-        keys = ids.select(F.explode("_rare.w").alias("w")).groupBy(_tail_key(F.col("w"), seed).alias("k")).agg(F.min("w").alias("a"), F.max("w").alias("b"))
-        if keys.where("a <> b").isEmpty():
-            return seed
-    raise RuntimeError("no seed keeps the keys of all words apart")
-
-
-def _tail_key(word, seed: int):
-    """Below zero, so that it is no head word's number."""
-    return F.xxhash64(word, F.lit(seed)).bitwiseOR(F.lit(-(1 << 63)))
-
-
-def gram_tokens(ids: DataFrame, start: int, seed: int) -> DataFrame:
-    """A row for each token: _row, _train, the two words before it (u, v) and itself (w).  u is null at a text's first token, where v is the start."""
-
-    def told(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows, train, seqs = part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False), []
-                for own, keys in zip(part.column(2), part.column(3), strict=True):
-                    own = np.asarray(own.values).astype(np.int64)
-                    tail = np.flatnonzero(own < 0)
-                    own[tail] = np.asarray(keys.values, np.int64)[-1 - own[tail]]
-                    seqs.append(np.concatenate(([start, start], own, [start])))
-                sizes = np.array([len(x) for x in seqs])
-                seq = np.concatenate(seqs)
-                w = np.flatnonzero(np.arange(len(seq)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= 2)
-                first = np.zeros(len(w), bool)
-                first[np.cumsum(sizes - 2) - (sizes - 2)] = True
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, sizes - 2)), pa.array(np.repeat(train, sizes - 2)), pa.array(seq[w - 2], mask=first), pa.array(seq[w - 1]), pa.array(seq[w])], names=["_row", "_train", "u", "v", "w"])
-
-    return ids.select("_row", "_train", "_ids", F.transform("_rare", lambda x: _tail_key(x["w"], seed)).alias("_keys")).mapInArrow(told, "_row bigint, _train boolean, u bigint, v bigint, w bigint")
-
-
-def joined_gains(ids: DataFrame, vocab: DataFrame, numbers, norm: float, end: int) -> DataFrame:
-    """_row and _gain: what the n-grams add to the sum of a text's unigram log10 probabilities (no row: nothing).
-
-    A token's state is given by the two words before it, so each finds by joins its
-    triple, else the backoff of the pair before it and its pair, else also the
-    backoff of the word before it.  vocab: _word and _c; numbers: broadcast numbers of the head words.
-    """
-
-    def numbered(batches):
-        for batch in batches:
-            at = [numbers.value.get(w.encode(), -1) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.int64())], names=["_word", "_c", "_at"])
-
-    seed = _tail_seed(ids)
-    at = vocab.select("_word", "_c").mapInArrow(numbered, "_word string, _c bigint, _at bigint")
-    vocab = written(at.select(F.when(F.col("_at") >= 0, F.col("_at")).otherwise(_tail_key(F.col("_word"), seed)).alias("w"), F.col("_c").alias("c")).where("c >= 2 OR w = %d" % end), "lm-numbers")
-    tokens = gram_tokens(ids, end, seed)
-    learned = tokens.where("_train")
-    inside = lambda x: F.least(F.greatest(x, F.lit(1e-9)), F.lit(1.0))
-    share = lambda c, n: F.greatest(F.col(c) - DISCOUNT, F.lit(0.05)) / F.greatest(F.col(n), F.lit(1))
-    pairs = written(learned.groupBy("v", "w").agg(F.count("*").alias("c2")).where("c2 >= 2"), "lm-pairs")
-    uni = vocab.select("w", ((F.col("c") + 0.5) / F.lit(float(norm))).alias("uni"))
-    pairs = pairs.join(vocab.select(F.col("w").alias("v"), F.col("c").alias("c1")), "v").join(uni, "w")
-    pairs = written(pairs.select("v", "w", "c2", "uni", share("c2", "c1").alias("p2")), "lm-arcs2")
-    left2 = written(pairs.groupBy("v").agg(F.log10(inside(1 - F.sum("p2")) / inside(1 - F.sum("uni"))).alias("b2")), "lm-left2")
-    triples = written(learned.where(F.col("v") != end).groupBy("u", "v", "w").agg(F.count("*").alias("c3")).where("c3 >= 2"), "lm-triples")
-    triples = triples.join(pairs.select(F.col("v").alias("u"), F.col("w").alias("v"), F.col("c2").alias("n2")), ["u", "v"]).join(pairs.select("v", "w", "uni", "p2"), ["v", "w"])
-    triples = written(triples.select("u", "v", "w", "uni", "p2", share("c3", "n2").alias("p3")), "lm-arcs3")
-    left3 = written(triples.groupBy("u", "v").agg(F.log10(inside(1 - F.sum("p3")) / inside(1 - F.sum("p2"))).alias("b3")), "lm-left3")
-    found = tokens.drop("_train").join(pairs.select("v", "w", F.log10(F.col("p2") / F.col("uni")).alias("g2")), ["v", "w"], "left").join(left2, "v", "left")
-    # a triple is kept only where its last pair is
-    found = found.join(left3, ["u", "v"], "left").join(triples.select("u", "v", "w", F.log10(F.col("p3") / F.col("uni")).alias("g3")), ["u", "v", "w"], "left")
-    gain = F.coalesce("g3", F.coalesce("b3", F.lit(0.0)) + F.coalesce("g2", "b2", F.lit(0.0)))
-    return found.groupBy("_row").agg(F.sum(gain).alias("_gain"))
+def kept_grams(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Those counted at least twice, keys ascending."""
+    table = counts.where("_c >= 2").toArrow()
+    return _sorted(table["_key"].to_numpy(), table["_c"].to_numpy())
 
 
 def lm_scores(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,28 +213,29 @@ def lm_scores(docs: DataFrame, training, id_col: str = "doc_id", text_col: str =
     `training`: condition on docs; its rows are learned from.  A null text is an
     empty one: its only token is the end.  Without training rows every token has the
     same probability.  Repeated rows are learned from and scored one by one; rows
-    that share an id stay apart.  An empty table gives an empty result.  Extra
-    columns have no effect.
-
-    Word counts and n-gram counts cover all training rows and are summed in each
-    task before they are shuffled.  The vocabulary's head (HEAD words) is broadcast;
-    rarer words are looked up by a join.  All n-grams counted twice are used: they
-    are broadcast where they are at most MOST_ARCS of each order and of head words
-    alone, else looked up by joins (joined_gains).
+    that share an id, or have none, stay apart.  A very long text is a block of its
+    own.  An empty table gives an empty result.  Extra columns have no effect.
+
+    All n-grams of the training rows counted at least twice are arcs.  Up to
+    MOST_CHARS characters the automaton is broadcast and walks over every text;
+    beyond, tokens visit its partitions.  Words beyond the most frequent ones are
+    told apart there by 63 bits of a hash.
     """
+    picked = docs.select(F.col(id_col).alias("_id"), F.coalesce(training, F.lit(False)).alias("_train"), F.col(text_col).cast("string").alias("_text"))
+    chars = picked.agg(F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()[0]
+    found = walked_scores(picked) if chars <= MOST_CHARS else part_scores(picked, words_of, DISCOUNT)
+    return found.withColumnRenamed("_id", id_col)
+
+
+def walked_scores(docs: DataFrame) -> DataFrame:
+    """_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs (_id, _train, _text); all words and arcs are broadcast."""
     spark = docs.sparkSession
-    vocab = written(count_words(docs.where(training), text_col), "lm-words")
-    total, distinct = vocab.agg(F.coalesce(F.sum("_c"), F.lit(0)), F.count("*")).first()
-    norm = total + 0.5 * (distinct + 1)
-    head = sorted(vocab.where(F.col("_c") >= _cut(vocab, HEAD)).collect(), key=lambda r: (-r[1], r[0]))
-    number = {r[0].encode(): i for i, r in enumerate(head)}
-    counts = np.array([r[1] for r in head], np.float64)
-    if END.encode() not in number:  # no training row, or a head of rarer words only
-        number[END.encode()] = len(counts)
-        ends = vocab.where(F.col("_word") == END).collect()
-        counts = np.append(counts, float(ends[0][1]) if ends else 0.0)
-    end = number[END.encode()]
-    root = np.log10((counts + 0.5) / norm)
+    vocab = sorted(((r[0].encode(), r[1]) for r in count_words(docs.where("_train"), "_text").collect()), key=lambda r: (-r[1], r[0]))
+    total = sum(c for _, c in vocab)
+    norm = total + 0.5 * (len(vocab) + 1)
+    number = {w: i for i, (w, _) in enumerate(vocab)}
+    end = number.setdefault(END.encode(), len(number))
+    counts = np.array([c for _, c in vocab] + [0] * (len(number) - len(vocab)), np.float64)
     shared_number = spark.sparkContext.broadcast(number)
 
     def numbered(batches):
@@ -334,49 +243,23 @@ def lm_scores(docs: DataFrame, training, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                ids, tails = [], []
-                for cell in part.column(2):
-                    words = words_of(cell.as_py())
-                    own = np.array([find(w, -1) for w in words], np.int32)
-                    tail = np.flatnonzero(own < 0)
-                    often = Counter(words[i] for i in tail)
-                    place = {w: -1 - k for k, w in enumerate(often)}  # -1 - its place among the text's rare words
-                    own[tail] = [place[words[i]] for i in tail]
-                    ids.append(own)
-                    tails.append([(w.decode("utf-8", "replace"), n) for w, n in often.items()])
-                rare = pa.array([[{"w": w, "n": n} for w, n in t] for t in tails], pa.list_(pa.struct([("w", pa.string()), ("n", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32())), rare], names=["_id", "_train", "_ids", "_rare"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(F.col(id_col).alias("_id"), F.coalesce(training, F.lit(False)).alias("_train"), F.col(text_col).cast("string").alias("_text"))
-    ids = written(picked.mapInArrow(numbered, f"_id {kind}, _train boolean, _ids array<int>, _rare array<struct<w:string,n:bigint>>").withColumn("_row", F.monotonically_increasing_id()), "lm-ids")
-    words = len(counts)
-    # a word counted once is in no kept n-gram; the head holds the most frequent ones
-    whole = vocab.where("_c >= 2").count() <= int((counts >= 2).sum())
-    pairs = kept_grams(count_grams(ids.where("_train"), 2, words, end)) if whole else None
-    triples = kept_grams(count_grams(ids.where("_train"), 3, words, end, spark.sparkContext.broadcast(pairs[0]))) if pairs else None
-    none = (np.zeros(0, np.int64), np.zeros(0))
-    shared = spark.sparkContext.broadcast(Automaton(root, np.maximum(counts, 1.0), *((pairs, triples) if triples else (none, none)), end))
-    known = counts > 0
-    shared_known = spark.sparkContext.broadcast(known)
+                ids = [np.array([find(w, -1) for w in words_of(cell.as_py())], np.int32) for cell in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["_id", "_train", "_ids"])
+
+    kind = docs.schema["_id"].dataType.simpleString()
+    ids = written(docs.mapInArrow(numbered, f"_id {kind}, _train boolean, _ids array<int>"), "lm-ids")
+    pairs = kept_grams(count_grams(ids.where("_train"), 2, len(counts), end))
+    triples = kept_grams(count_grams(ids.where("_train"), 3, len(counts), end, spark.sparkContext.broadcast(pairs[0])))
+    shared = spark.sparkContext.broadcast((Automaton(np.log10((counts + 0.5) / norm), np.maximum(counts, 1.0), pairs, triples, end), counts > 0, float(np.log10(0.5 / norm))))
 
     def walked(batches):
-        automaton, known = shared.value, shared_known.value
+        automaton, known, unseen = shared.value
         for batch in batches:
-            texts = [np.asarray(x.values) for x in batch.column(2)]
-            inside = [t[t >= 0] for t in texts]
-            base = np.array([automaton.root[t].sum() for t in inside]) + automaton.root[automaton.end]
-            n_known = np.array([known[t].sum() for t in inside], np.int64) + int(known[automaton.end])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array([len(t) + 1 for t in texts], np.int64)), pa.array(n_known), pa.array(base), pa.array(automaton.scores(texts))], names=["_row", "_id", "n_tokens", "_known", "_base", "_score"])
-
-    stats = ids.select("_row", "_id", "_ids").mapInArrow(walked, f"_row bigint, _id {kind}, n_tokens bigint, _known bigint, _base double, _score double")
-    rare = ids.select("_row", F.explode("_rare").alias("r")).select("_row", F.col("r.w").alias("_word"), F.col("r.n").alias("_n")).join(vocab, "_word", "left")
-    c = F.coalesce("_c", F.lit(0))
-    rare = rare.groupBy("_row").agg(F.sum(F.col("_n") * F.log10((c + 0.5) / F.lit(float(norm)))).alias("_more"), F.sum(F.when(c > 0, F.col("_n")).otherwise(0)).alias("_more_known"))
-    both = stats.join(rare, "_row", "left")
-    gain = F.lit(0.0)
-    if not triples:
-        both = both.join(joined_gains(ids, vocab, shared_number, norm, end), "_row", "left")
-        gain = F.coalesce("_gain", F.lit(0.0))
-    more = F.coalesce("_more", F.lit(0.0))
-    return both.select(F.col("_id").alias(id_col), "n_tokens", (F.col("_known") + F.coalesce("_more_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("bigint").alias("train_tokens"), (F.col("_base") + more).alias("base_score"), (F.col("_score") + more + gain).alias("score"))
+            texts = [np.asarray(x.values) for x in batch.column(1)]
+            new = np.array([(t < 0).sum() for t in texts]) * unseen
+            base = np.array([automaton.root[t[t >= 0]].sum() for t in texts]) + automaton.root[automaton.end] + new
+            n_known = np.array([known[t[t >= 0]].sum() for t in texts], np.int64) + int(known[automaton.end])
+            columns = pa.array(np.array([len(t) + 1 for t in texts], np.int64)), pa.array(n_known), pa.array(np.full(len(texts), total, np.int64)), pa.array(base), pa.array(automaton.scores(texts) + new)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return ids.select("_id", "_ids").mapInArrow(walked, f"_id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidex.llm import lm
+from evidex.llm import lm, lm_parts
 
 
 def tokens(t):
@@ -19,9 +19,19 @@ def rows():
     return out + [(100, None), (101, ""), (102, " \n\t "), (103, "zzz unseen the cat"), (104, "the cat " * 5000), (5, base[1])]
 
 
-@pytest.mark.parametrize("head", [131_072, 6])
-def test_base_against_brute_force(spark, monkeypatch, head):
-    monkeypatch.setattr(lm, "HEAD", head)
+#: Bounds that choose the form: broadcast, in partitions, in partitions with dealt words and small blocks.
+FORMS = [{}, {"chars": 0}, {"chars": 0, "tokens": 40, "hot": 0.5, "block": 50, "numbered": 4}]
+
+
+def bounded(monkeypatch, form):
+    for module, name, key in ((lm, "MOST_CHARS", "chars"), (lm_parts, "PART_TOKENS", "tokens"), (lm_parts, "HOT", "hot"), (lm_parts, "BLOCK_TOKENS", "block"), (lm_parts, "NUMBERED", "numbered")):
+        if key in form:
+            monkeypatch.setattr(module, name, form[key])
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_base_against_brute_force(spark, monkeypatch, form):
+    bounded(monkeypatch, form)
     data = rows()
     df = spark.createDataFrame(data, "doc_id bigint, text string").withColumn("score", F.lit(1)).repartition(3)
     train = F.col("doc_id") % 5 != 1
@@ -31,11 +41,12 @@ def test_base_against_brute_force(spark, monkeypatch, head):
     want = sorted((i, len(k := tokens(t)), sum(c[x] > 0 for x in k), n, round(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in k), 6)) for i, t in data)
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     seen = [r for r in got if r.doc_id < 60]
-    if head > 6:
-        assert sum(r.score for r in seen) > sum(r.base_score for r in seen) * 0.7
+    assert sum(r.score for r in seen) > sum(r.base_score for r in seen) * 0.7
 
 
-def test_no_training_rows_and_empty(spark):
+@pytest.mark.parametrize("form", FORMS)
+def test_no_training_rows_and_empty(spark, monkeypatch, form):
+    bounded(monkeypatch, form)
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
     got = {r.doc_id: r for r in lm.lm_scores(df, F.lit(False)).collect()}
     assert got[1].n_tokens == 3 and got[1].n_known == 0 and got[1].train_tokens == 0 and got[2].n_tokens == 1
@@ -84,11 +95,10 @@ def test_automaton_is_a_distribution_and_equals_plain_backoff():
         assert abs(want - score) < 1e-6
 
 
-@pytest.mark.parametrize("head, arcs", [(131_072, 600_000), (6, 600_000), (131_072, 3)])
-def test_all_grams_count_whatever_the_bounds(spark, monkeypatch, head, arcs):
-    """Scores equal a plain backoff model over all n-grams counted twice, be they broadcast or looked up."""
-    monkeypatch.setattr(lm, "HEAD", head)
-    monkeypatch.setattr(lm, "MOST_ARCS", arcs)
+@pytest.mark.parametrize("form", FORMS)
+def test_all_grams_count_whatever_the_bounds(spark, monkeypatch, form):
+    """Scores equal a plain backoff model over all n-grams counted twice, be the automaton broadcast or in partitions."""
+    bounded(monkeypatch, form)
     data = rows()
     uni, bi, tri = Counter(), Counter(), Counter()
     for i, t in data:
