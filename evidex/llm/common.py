@@ -69,6 +69,12 @@ def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def released() -> None:
+    """Give freed memory of this process back to the system (glibc)."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: Of this worker process: one operator's cache, kept from task to task.  A worker that goes on to another operator
 #: drops it, so a pipeline's workers never hold more than one.
 _worker: dict = {}
@@ -79,7 +85,6 @@ def worker_cache(key, make):
     if not _worker or _worker["key"] != key:
         _worker.clear()
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # give what the old cache took back to the system (glibc)
-            ctypes.CDLL(None).malloc_trim(0)
+        released()
         _worker.update(key=key, value=make())
     return _worker["value"]

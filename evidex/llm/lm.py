@@ -222,8 +222,8 @@ def lm_scores(docs: DataFrame, training, id_col: str = "doc_id", text_col: str =
     told apart there by 63 bits of a hash.
     """
     picked = docs.select(F.col(id_col).alias("_id"), F.coalesce(training, F.lit(False)).alias("_train"), F.col(text_col).cast("string").alias("_text"))
-    chars = picked.agg(F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()[0]
-    found = walked_scores(picked) if chars <= MOST_CHARS else part_scores(picked, words_of, DISCOUNT)
+    chars, rows = picked.agg(F.coalesce(F.sum(F.length("_text")), F.lit(0)), F.count("*")).first()
+    found = walked_scores(picked) if chars <= MOST_CHARS else part_scores(picked, rows, words_of, DISCOUNT)
     return found.withColumnRenamed("_id", id_col)
 
 

@@ -20,13 +20,12 @@ def rows():
 
 
 #: Bounds that choose the form: broadcast, in partitions, in partitions with dealt words and small blocks.
-FORMS = [{}, {"chars": 0}, {"chars": 0, "tokens": 40, "hot": 0.5, "block": 50, "numbered": 4}]
+FORMS = [{}, {"MOST_CHARS": 0}, {"MOST_CHARS": 0, "PART_TOKENS": 400, "HOT_TOKENS": 800, "BLOCK_TOKENS": 50, "SLICE_TOKENS": 30}, {"MOST_CHARS": 0, "PART_TOKENS": 40, "HOT_TOKENS": 20, "BLOCK_TOKENS": 50, "NUMBERED": 4}]
 
 
 def bounded(monkeypatch, form):
-    for module, name, key in ((lm, "MOST_CHARS", "chars"), (lm_parts, "PART_TOKENS", "tokens"), (lm_parts, "HOT", "hot"), (lm_parts, "BLOCK_TOKENS", "block"), (lm_parts, "NUMBERED", "numbered")):
-        if key in form:
-            monkeypatch.setattr(module, name, form[key])
+    for name, value in form.items():
+        monkeypatch.setattr(lm if name == "MOST_CHARS" else lm_parts, name, value)
 
 
 @pytest.mark.parametrize("form", FORMS)
