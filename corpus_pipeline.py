@@ -14,7 +14,7 @@ from evidex.llm.bpe import bpe_encode
 from evidex.llm.common import read_table, written
 from evidex.llm.mixing import mix_to_targets, repeated
 from evidex.llm.neardup import BROADCAST_IDS, near_duplicates
-from evidex.llm.pii import find_pii
+from evidex.llm.pii import sanitised
 from evidex.llm.toxicity import without_toxic
 
 
@@ -42,11 +42,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents, personal data and the terms that reveal it replaced; n_chars follows the text."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    clean = find_pii(docs, sanitised=True, carry=others).withColumn("text", F.col("sanitised"))
-    if "n_chars" in others:
-        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(docs.columns)
+    clean = sanitised(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
