@@ -1,82 +1,45 @@
 """Exact top-k inner-product search over vector-approximation files.
 
-Each block of vectors keeps, beside the exact integers, an approximation: every
-component's cell on a grid of CELLS equal steps.  For a query, a vector's cells
-bound its score from above and below.  The scan reads cells only; exact vectors
-are then read in the order of their bounds until the k-th exact score is above
-every bound left, so the result is exact (ties included).
+Each vector has an approximation: a step and one signed byte a component, the cell
+the component lies in.  They are written once, in a table of their own columns.  The
+scan reads cells only: for a query, a vector's cells bound its score from below and
+above.  The k-th highest lower bound that a query meets anywhere is a score it is
+sure to reach, so vectors whose upper bound stays below it are out.  Exact vectors
+are read only for what is left and whose bounds differ, by a join on their ids.
+
+Queries and vectors meet in a grid of blocks (QUERIES x VECTORS): a block pair gives
+back what its own k-th lower bound leaves.  Copies of a vector beyond the k + 1
+smallest ids can be in no result and are left out before the scan.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 32
-#: Queries of one broadcast block, and those whose bounds are held at once; exact vectors read in one step.
-BLOCK, CHUNK, STEP = 4096, 256, 64
-
-
-class Best:
-    """The k best (score, id) of each query so far, best first; ids of absent places are -1."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.vectors, self.k = ids, vectors, k
-        self.scores = np.full((len(ids), k), np.iinfo(np.int64).min)
-        self.found = np.full((len(ids), k), -1, np.int64)
-
-    def full(self, q: int) -> bool:
-        return self.found[q, -1] >= 0
-
-    def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        have = self.found[q] >= 0
-        s, i = np.concatenate((self.scores[q][have], scores)), np.concatenate((self.found[q][have], ids))
-        order = np.lexsort((i, -s))[: self.k]
-        self.scores[q, : len(order)], self.found[q, : len(order)] = s[order], i[order]
-
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        q, at = np.nonzero(self.found >= 0)
-        return self.ids[q], self.found[q, at], self.scores[q, at]
-
-
-def scan(best: Best, ids: np.ndarray, vectors: np.ndarray) -> int:
-    """Bring one block of vectors in; returns how many exact vectors were read."""
-    low, high = vectors.min(0), vectors.max(0)
-    width = np.maximum(1, -(-(high - low + 1) // CELLS))
-    cells = ((vectors - low) // width).astype(np.uint8)
-    # the cells' edges, as the scan sees the vectors; int64 sums as doubles are exact below 2**53
-    floor = (low + cells * width).astype(np.float64)
-    ceiling = np.minimum(floor + width - 1, high)
-    read = 0
-    for at in range(0, len(best.ids), CHUNK):
-        part = best.vectors[at : at + CHUNK].astype(np.float64)
-        up, down = np.maximum(part, 0), np.minimum(part, 0)
-        upper = up @ ceiling.T + down @ floor.T
-        for q, bound in enumerate(upper, at):
-            if best.full(q):
-                left = np.flatnonzero(bound >= best.scores[q, -1])
-            else:
-                left = np.arange(len(ids))
-            if not len(left):
-                continue
-            left = left[np.argsort(-bound[left], kind="stable")]
-            limits = bound[left]
-            for a in range(0, len(left), STEP):
-                if best.full(q) and limits[a] < best.scores[q, -1]:
-                    break  # no vector left can reach the k-th score
-                rows = left[a : a + STEP]
-                read += len(rows)
-                own = ids[rows] != best.ids[q]
-                rows = rows[own]
-                best.add(q, vectors[rows] @ best.vectors[q], ids[rows])
-    return read
-
-
-def matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+from .common import dropped, written
+
+#: Queries and vectors of a block, and queries whose bounds are held at once.
+QUERIES, VECTORS, CHUNK = 4096, 65_536, 64
+
+
+def cells_of(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Step of each integer vector and its components' cells, floor(component / step), in a signed byte."""
+    most = np.maximum(vectors.max(1), -1 - vectors.min(1)) if vectors.shape[1] else np.zeros(len(vectors), np.int64)
+    step = most // 128 + 1
+    return step, np.floor_divide(vectors, step[:, None]).astype(np.int8)
+
+
+def bounds(queries: np.ndarray, step: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest and highest score of each query (rows) with each vector of these cells; whole numbers in doubles, exact below 2**53."""
+    base = (queries @ cells.T.astype(np.float64)) * step
+    slack = step - 1.0
+    return base + np.minimum(queries, 0).sum(1)[:, None] * slack, base + np.maximum(queries, 0).sum(1)[:, None] * slack
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -86,48 +49,77 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> Data
     return vectors.where(F.col(id_col).isNotNull() & F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("bigint").alias("_id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("bigint")).alias("_v"))
 
 
+def approximated(rows: DataFrame, k: int) -> DataFrame:
+    """The table of approximations: _id, _n (length), _step, _cells and _v; at most k + 1 of equal vectors, those of the smallest ids."""
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_v").orderBy("_id"))).where(F.col("_r") <= k + 1).select("_id", "_v")
+
+    def approximate(batches):
+        for batch in batches:
+            length = batch.column(1).value_lengths().to_numpy()
+            for n in np.unique(length):
+                part = batch.take(pa.array(np.flatnonzero(length == n)))
+                step, cells = cells_of(part.column(1).flatten().to_numpy().reshape(-1, n))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(step), n, np.int32)), pa.array(step), pa.array([c.tobytes() for c in cells], pa.binary()), part.column(1)], names=["_id", "_n", "_step", "_cells", "_v"])
+
+    return written(first.mapInArrow(approximate, "_id bigint, _n int, _step bigint, _cells binary, _v array<bigint>"), "va-cells")
+
+
+def scanned(cells: DataFrame, wanted: DataFrame, k: int, n_vectors: int, n_queries: int) -> DataFrame:
+    """query_id, vec_id, low and high: bounds of all pairs that can be among a query's k best."""
+    rows, columns = max(1, math.ceil(n_queries / QUERIES)), max(1, math.ceil(n_vectors / VECTORS))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda n: F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int")
+    nothing = F.lit(None)
+    left = cells.select("_id", "_n", "_step", "_cells", nothing.cast("array<bigint>").alias("_v"), block(columns).alias("_j"), spread(rows).alias("_i"))
+    right = wanted.select("_id", F.size("_v").alias("_n"), nothing.cast("bigint").alias("_step"), nothing.cast("binary").alias("_cells"), "_v", block(rows).alias("_i"), spread(columns).alias("_j"))
+
+    def met(table: pa.Table) -> pa.Table:
+        is_query = pa.compute.is_null(table["_step"])
+        q, v = table.filter(is_query), table.filter(pa.compute.invert(is_query))
+        found = []
+        if len(q) and len(v):
+            n = q["_n"][0].as_py()
+            vectors = q["_v"].combine_chunks().flatten().to_numpy().reshape(-1, n).astype(np.float64)
+            ids, own = q["_id"].to_numpy(), v["_id"].to_numpy()
+            cells = np.frombuffer(b"".join(v["_cells"].to_pylist()), np.int8).reshape(-1, n)
+            step = v["_step"].to_numpy().astype(np.float64)
+            for at in range(0, len(ids), CHUNK):
+                low, high = bounds(vectors[at : at + CHUNK], step, cells)
+                for i, query in enumerate(ids[at : at + CHUNK]):
+                    low[i, own == query] = high[i, own == query] = -np.inf
+                    sure = np.partition(low[i], len(own) - k)[len(own) - k] if len(own) >= k else -np.inf
+                    some = np.flatnonzero((high[i] >= sure) & (high[i] > -np.inf))
+                    known = some[low[i, some] == high[i, some]]  # of those whose score is known no more than k
+                    best = known[np.lexsort((own[known], -low[i, known]))[:k]]
+                    some = np.concatenate((best, some[low[i, some] < high[i, some]]))
+                    found.append((np.full(len(some), query), own[some], low[i, some].astype(np.int64), high[i, some].astype(np.int64), np.full(len(some), max(sure, -(2.0**53)), np.float64)))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[]] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "low", "high", "sure"])
+
+    pairs = left.unionByName(right).groupBy("_n", "_i", "_j").applyInArrow(met, "query_id bigint, vec_id bigint, low bigint, high bigint, sure double")
+    return pairs.withColumn("sure", F.max("sure").over(Window.partitionBy("query_id"))).where("high >= sure").drop("sure")
+
+
 def exact_topk(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query row's k best other rows by integer inner product.
 
     `queries`: condition that chooses the query rows.  Ties go to the smaller id;
     fewer rows than k: all.  Rows whose vector is null, empty or holds null or
-    non-finite components take no part; only vectors of equal length are compared.
-    A row repeated under one id counts once for each place; a query never meets its
-    own id.  An empty table gives an empty result.  Scores are exact while scale *
-    component * component * length stays below 2**53.
-
-    Queries go out in broadcast blocks of at most BLOCK rows (a block's size is
-    counted first); each task keeps k rows a query, so what is shuffled doesn't
-    depend on the rows a task reads, and no pair of rows is ever emitted.
+    non-finite components, or whose id is null, take no part; only vectors of equal
+    length are compared.  Rows that repeat an id are one vector, the smallest of
+    theirs; a query never meets its own id.  An empty table gives an empty result;
+    extra columns have no effect.  Scores are exact while scale * component *
+    component * length stays below 2**53.
     """
-    spark = vectors.sparkSession
-    rows = quantised(vectors, id_col, vec_col, scale)
-    wanted = quantised(vectors.where(queries), id_col, vec_col, scale)
-    sizes = wanted.groupBy(F.size("_v").alias("_n")).count().collect()
-    parts = []
-    for length, count in sorted((r[0], r[1]) for r in sizes):
-        blocks = -(-count // (BLOCK // 2)) if count > BLOCK else 1
-        for block in range(blocks):
-            own = wanted.where((F.size("_v") == length) & (F.pmod(F.xxhash64("_id"), F.lit(blocks)) == block)).collect()
-            if not own:
-                continue
-            ids = np.array([r[0] for r in own], np.int64)
-            ids, first = np.unique(ids, return_index=True)
-            shared = spark.sparkContext.broadcast((ids, np.array([own[i][1] for i in first], np.int64)))
-
-            def search(batches, shared=shared):
-                best = Best(*shared.value, k)
-                for batch in batches:
-                    if batch.num_rows:
-                        scan(best, batch.column(0).to_numpy(), matrix(batch.column(1)))
-                q, i, s = best.rows()
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-            parts.append(rows.where(F.size("_v") == length).mapInArrow(search, "query_id bigint, vec_id bigint, score bigint"))
-    if not parts:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
+    rows = quantised(vectors, id_col, vec_col, scale).groupBy("_id").agg(F.min("_v").alias("_v"))
+    cells = approximated(rows, k)
+    wanted = written(quantised(vectors.where(queries), id_col, vec_col, scale).groupBy("_id").agg(F.min("_v").alias("_v")), "va-queries")
+    found = written(scanned(cells, wanted, k, cells.count(), wanted.count()), "va-found")
+    # exact vectors, where the bounds leave the score open
+    dot = F.aggregate(F.zip_with("_q", "_v", lambda a, b: a * b), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    open_ = found.where("low < high").join(cells.select(F.col("_id").alias("vec_id"), "_v"), "vec_id").join(wanted.select(F.col("_id").alias("query_id"), F.col("_v").alias("_q")), "query_id")
+    scores = found.where("low = high").select("query_id", "vec_id", F.col("low").alias("score")).unionByName(open_.select("query_id", "vec_id", dot.alias("score")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = written(scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "va-best")
+    dropped(cells, wanted, found)
+    return best
