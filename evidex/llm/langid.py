@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import uuid
 from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import worker_cache
@@ -24,9 +25,9 @@ from .subword import gram_ids
 BUCKETS = 1 << 16
 GRAMS = (2, 3, 4, 5)
 SWITCH = 9.0  # log score that a switch of language costs
-#: Bounds of the training sample: rows of each language, and the longest text taken into it; of a language that has
-#: longer ones only, its LONG_ROWS shortest.
-SAMPLE_ROWS, SAMPLE_CHARS, LONG_ROWS = 600, 20_000, 5
+#: Bound of the training sample: rows of each language; their whole texts are counted where they lie.
+SAMPLE_ROWS = 600
+SALTS = 64  # a language's rows are ranked in so many parts first
 CACHE_WORDS = 400_000
 LANES = 512  # texts that walk side by side
 
@@ -71,21 +72,34 @@ class Model:
         return (value - value.max(1, keepdims=True)).astype(np.float32)
 
 
-def train(rows: list[tuple[str, str]]) -> Model:
-    """rows: text and language.  Counts with add-one-half smoothing; every language weighs alike."""
-    langs = sorted({lang for _, lang in rows})
-    counts, scripts = np.zeros((BUCKETS, len(langs))), np.zeros((len(NAMES), len(langs)))
-    tallies: list[dict[str, int]] = [{} for _ in langs]
+def tally(rows) -> dict[tuple[str, int], int]:
+    """rows: text and language.  How often each language shows each n-gram bucket, and (below zero: -1 - script) each script."""
+    words: dict[str, Counter] = {}
     for text, lang in rows:
-        tally = tallies[langs.index(lang)]
-        for w in words_of(text):
-            tally[w] = tally.get(w, 0) + 1
-    for k, tally in enumerate(tallies):
-        owner, grams = gram_ids(list(tally), GRAMS, BUCKETS)
-        often = np.fromiter(tally.values(), np.float64, len(tally))
-        counts[:, k] = np.bincount(grams, often[owner], BUCKETS)
-        for w, n in tally.items():
-            scripts[script_of(w), k] += n
+        words.setdefault(lang, Counter()).update(words_of(text))
+    out: dict[tuple[str, int], int] = {}
+    for lang, found in words.items():
+        own = list(found)
+        for at in range(0, len(own), 20_000):
+            part = own[at : at + 20_000]
+            often = np.array([found[w] for w in part], np.float64)
+            owner, grams = gram_ids(part, GRAMS, BUCKETS)
+            counts = np.bincount(grams, often[owner], BUCKETS)
+            for k in np.flatnonzero(counts).tolist():
+                out[lang, k] = out.get((lang, k), 0) + int(counts[k])
+            for w in part:
+                k = -1 - script_of(w)
+                out[lang, k] = out.get((lang, k), 0) + found[w]
+    return out
+
+
+def model_of(counted, names) -> Model:
+    """counted: (language, bucket or script, count) rows.  Add-one-half smoothing; every language weighs alike."""
+    langs = sorted(names)
+    at = {lang: k for k, lang in enumerate(langs)}
+    counts, scripts = np.zeros((BUCKETS, len(langs))), np.zeros((len(NAMES), len(langs)))
+    for lang, k, n in counted:
+        (counts if k >= 0 else scripts)[k if k >= 0 else -1 - k, at[lang]] += n
     table = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * BUCKETS)) if langs else counts
     table -= table.max(1, keepdims=True) if langs else 0
     return Model(langs, np.maximum(table, -6.0).astype(np.float32), scripts > 0.002 * scripts.sum(0))
@@ -154,22 +168,29 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
     return out
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, training) -> list[tuple[str, str]]:
-    """At most SAMPLE_ROWS rows of each language with a text of at most SAMPLE_CHARS, by the order of a hash of the id; of all languages."""
+def learned(docs: DataFrame, id_col: str, text_col: str, lang_col: str, training) -> Model:
+    """The model of at most SAMPLE_ROWS rows of each language, by the order of a hash of the id; of all languages.
+
+    One scan ranks ids (no text is shuffled), a second counts the n-grams of the rows
+    chosen, in each task first; the driver gets at most BUCKETS numbers a language.
+    """
     rows = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
-    langs = rows.groupBy("_lang").agg(F.min(F.length("_text")).alias("_least")).orderBy("_lang").collect()
-    short = [r[0] for r in langs if r[1] <= SAMPLE_CHARS]
-    long = [r[0] for r in langs if r[1] > SAMPLE_CHARS]
-    # ids first: what tasks send to the driver to be ranked then holds no text
-    fits = (F.length("_text") <= SAMPLE_CHARS) | F.col("_lang").isin(long)
-    ids = rows.where(fits).select("_id", "_lang", F.length("_text").alias("_chars"))
-    order = F.xxhash64(F.col("_id").cast("string")), "_id"
-    picked = [ids.where(F.col("_lang") == lang).orderBy(*order).limit(SAMPLE_ROWS) for lang in short]
-    picked += [ids.where(F.col("_lang") == lang).orderBy("_chars", *order).limit(LONG_ROWS) for lang in long]
-    chosen = [(r[0], r[1]) for part in picked for r in part.collect()]
-    table = docs.sparkSession.createDataFrame(list(dict.fromkeys(chosen)), ids.drop("_chars").schema)
-    found = rows.where(fits).join(F.broadcast(table), ["_id", "_lang"]).select("_text", "_lang")
-    return sorted({(r[0], r[1]) for r in found.collect()})
+    key = F.xxhash64(F.col("_id").cast("string"))
+    ids = rows.where(F.trim("_text") != "").select("_id", "_lang", key.alias("_h")).withColumn("_salt", F.pmod("_h", F.lit(SALTS)))
+    for by in (("_lang", "_salt"), ("_lang",)):
+        ids = ids.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "_id"))).where(F.col("_r") <= SAMPLE_ROWS)
+    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in ids.select("_id", "_lang").distinct().collect()], rows.drop("_text").schema)
+
+    def counted(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = tally(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()), pa.array(found.values(), pa.int64())], names=["lang", "k", "n"])
+
+    found = rows.join(F.broadcast(chosen), ["_id", "_lang"]).select("_text", "_lang").mapInArrow(counted, "lang string, k int, n bigint").groupBy("lang", "k").agg(F.sum("n").alias("n")).toArrow()
+    counts = list(zip(found["lang"].to_pylist(), found["k"].to_pylist(), found["n"].to_pylist(), strict=True))
+    return model_of(counts, {c[0] for c in counts})
 
 
 def detect_languages(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_spans: bool = False) -> DataFrame:
@@ -179,10 +200,11 @@ def detect_languages(docs: DataFrame, training, id_col: str = "doc_id", text_col
     learned from.  A text that is null or has no letter is `und` with score 0; so
     is every text when nothing can be learned.  Ties go to the smaller name.
     Spans: language, first word and number of words (words: runs of letters).
-    Repeated rows are treated alike; extra columns have no effect.  One narrow map
-    over whole texts; only the bounded sample goes to the driver.
+    Repeated rows, also of a null id, are treated alike; extra columns have no effect;
+    an empty table gives an empty result.  One narrow map over whole texts, however
+    long; only counts of the bounded sample go to the driver.
     """
-    model = train(training_sample(docs, id_col, text_col, lang_col, training))
+    model = learned(docs, id_col, text_col, lang_col, training)
     key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double" + ", spans array<struct<lang:string,first_word:int,n_words:int>>" * with_spans
 

@@ -57,3 +57,13 @@ def test_labels_beyond_one_byte():
     scores = np.full((4, 300), -5.0, np.float32)
     scores[:, 290] = 0
     assert viterbi([scores])[0].tolist() == [290] * 4
+
+
+def test_three_hundred_languages(spark):
+    """Languages of invented words: all are learned, also with more rows than are sampled."""
+    rng = np.random.default_rng(3)
+    letters = [list("abcdefghijklmnopqrstuvwxyz"[i % 20 : i % 20 + 6]) for i in range(300)]
+    words = [["".join(rng.choice(letters[k], 5)) + chr(0x4E00 + k) for _ in range(8)] for k in range(300)]
+    rows = [(10 * k + j, " ".join(rng.choice(words[k], 12)), f"l{k:03}") for k in range(300) for j in range(4)]
+    got = detect_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True)).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id // 10:03}" for r in got) > 0.97 * len(got)
