@@ -12,15 +12,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, written
 
-#: Bounds of the classifier: domains, labelled rows and longest text of each, and words (broadcast).
-MOST_DOMAINS, SAMPLE_ROWS, SAMPLE_CHARS, FEATURES = 64, 1000, 20_000, 4096
+#: Bounds of the classifier: labelled rows of each domain, whose whole texts are counted where they lie, and words (broadcast);
+#: more domains than MOST_DOMAINS are refused, as every domain is a column.
+MOST_DOMAINS, SAMPLE_ROWS, FEATURES = 256, 1000, 4096
+SALTS = 64  # a domain's rows are ranked in so many parts first
 KAPPA = 24.0  # a longer text's evidence is scaled down to so many words, which keeps mixed texts' posteriors soft
-STEPS, FOLD, TOLERANCE = 60, 10, 1e-7
+STEPS, FOLD, TOLERANCE, STALLED = 200, 10, 1e-4, 1e-3  # at most, steps folded into one table, error and relative gain that end the fit
 BLANK = r"[\x20\x09-\x0D]+"
 MARK = "\u0000"  # stands once in every document's words, so that none is lost
 
@@ -33,20 +35,21 @@ def classifier(labelled: DataFrame, id_col: str, text_col: str, domain_col: str,
     """Domains (by name), their log shares, and a table of words with their log probability under each domain."""
     rows = labelled.where(F.col(domain_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(domain_col).cast("string").alias("_d"))
     # ids first: a join by id then shuffles no text
-    ids = rows.select("_id", "_d", F.length("_text").alias("_long"))
+    ids = rows.select("_id", "_d")
     if among is not None:
         ids = ids.join(among.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi")
-    found = ids.groupBy("_d").count().orderBy(F.desc("count"), "_d").limit(MOST_DOMAINS).collect()
-    domains = sorted(r[0] for r in found)
+    found = ids.groupBy("_d").count().orderBy("_d").limit(MOST_DOMAINS + 1).collect()
+    if len(found) > MOST_DOMAINS:
+        raise ValueError(f"more than {MOST_DOMAINS} domains")
+    domains = [r[0] for r in found]
     if not domains:
         return [], [], None
     total, size = sum(r[1] for r in found), {r[0]: r[1] for r in found}
-    chosen = None
-    for d in domains:
-        part = ids.where((F.col("_d") == d) & (F.col("_long") <= SAMPLE_CHARS)).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(SAMPLE_ROWS).select("_id")
-        chosen = part if chosen is None else chosen.unionAll(part)
-    chosen = written(chosen.distinct(), "mix-sample")
-    sample = rows.where((F.length("_text") <= SAMPLE_CHARS) & F.col("_d").isin(domains)).join(F.broadcast(chosen), "_id", "left_semi")
+    chosen = ids.withColumn("_h", F.xxhash64(F.col("_id").cast("string"))).withColumn("_salt", F.pmod("_h", F.lit(SALTS)))
+    for by in (("_d", "_salt"), ("_d",)):
+        chosen = chosen.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "_id"))).where(F.col("_r") <= SAMPLE_ROWS)
+    chosen = written(chosen.select("_id", "_d").distinct(), "mix-sample")
+    sample = rows.join(F.broadcast(chosen), ["_id", "_d"], "left_semi")
     counts = sample.select("_d", F.explode(words_of(F.lower("_text"))).alias("_w")).groupBy("_w").agg(*[F.sum(F.when(F.col("_d") == d, 1.0).otherwise(0.0)).alias(f"c{k}") for k, d in enumerate(domains)])
     often = written(counts.orderBy(F.desc(sum((F.col(f"c{k}") for k in range(len(domains))), F.lit(0.0))), "_w").limit(FEATURES), "mix-words")
     sums = often.agg(*[F.coalesce(F.sum(f"c{k}"), F.lit(0.0)) for k in range(len(domains))]).first()
@@ -94,9 +97,11 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
     down by a hash of the id, with the fraction as probability.
 
     A null or empty text has 0 tokens, the prior as posterior, and a rate like any
-    text of that posterior.  Without labelled rows rate is 1 everywhere and domain
+    text of that posterior; a very long one counts whole.  Null ids and ids that repeat
+    are rows like others.  Without labelled rows rate is 1 everywhere and domain
     null.  Repeated rows count one by one; extra columns have no effect; an empty
-    table gives an empty result.
+    table gives an empty result.  Targets that no rates reach are met as nearly as
+    least squares can.
     """
     domains, soft = posteriors(docs, labelled, id_col, text_col, domain_col, among)
     k = len(domains)
@@ -122,15 +127,20 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
     # Squared errors weigh by 1 / tokens of the domain, rates by their tokens: then no step longer than 1 overshoots
     weigh = [1 / h if h > 0 else 0.0 for h in have]
     steps: list[list[float]] = []
+    last = math.inf
     for at in range(STEPS):
         error = [t - w for t, w in zip(totals(_stepped(F.col("r"), steps, k, min_rate)), target, strict=True)]
-        if max((abs(e) for e in error), default=0.0) <= TOLERANCE * max(budget, 1.0):
-            break
+        loss = sum(w * e * e for w, e in zip(weigh, error, strict=True))
+        if max((abs(e) for e in error), default=0.0) <= TOLERANCE * max(budget, 1.0) or last - loss <= STALLED * loss:
+            break  # met, or as near as rates of at least min_rate come
+        last = loss
         steps.append([w * e for w, e in zip(weigh, error, strict=True)])
         if len(steps) == FOLD:
             then = written(soft.withColumn("r", _stepped(F.col("r"), steps, k, min_rate)), "mix-soft")
             dropped(soft)
             soft, steps = then, []
+    else:
+        raise RuntimeError(f"rates not settled after {STEPS} steps")
     rate = _stepped(F.col("r"), steps, k, min_rate)
     best = F.greatest(*[F.col(f"p{i}") for i in range(k)]) if k > 1 else F.col("p0")
     name = F.coalesce(*[F.when(F.col(f"p{i}") == best, F.lit(d)) for i, d in enumerate(domains)])
@@ -144,6 +154,8 @@ def repeated(docs: DataFrame, copies: DataFrame, id_col: str = "doc_id", most: i
 
     The table of copies is broadcast where it was counted to have at most `most` rows, else both sides are shuffled.
     """
-    times = written(copies.groupBy(id_col).agg(F.max("copies").alias("_copies")), "mix-copies")
-    joined = docs.join(F.broadcast(times) if times.count() <= most else times, docs[id_col].eqNullSafe(times[id_col])).drop(times[id_col])
-    return joined.withColumn("_copies", F.explode(F.expr("if(_copies > 0, sequence(1, _copies), cast(array() as array<bigint>))"))).drop("_copies")
+    times = written(copies.groupBy(F.col(id_col).alias("_at")).agg(F.max("copies").alias("_times")), "mix-copies")
+    own = docs.select(F.struct(*docs.columns).alias("_row"))
+    joined = own.join(F.broadcast(times) if times.count() <= most else times, F.col(f"_row.`{id_col}`").eqNullSafe(F.col("_at")))
+    many = F.explode(F.expr("if(_times > 0, sequence(1, _times), cast(array() as array<bigint>))"))
+    return joined.select("_row", many.alias("_k")).select("_row.*")
