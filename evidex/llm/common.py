@@ -24,10 +24,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The folder that all executors share, as `spark.checkpoint.dir` names it.
 
-    Only where the session names none (tests on one machine) a temporary folder is set and removed at exit.
+    Only where the session names none and runs on one machine (tests) a temporary folder is set and removed at exit.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="evidex-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{named}")
@@ -64,11 +66,6 @@ def remainder(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
-    """Broadcast hint only for a table whose counted rows stay within `most`; otherwise a shuffled join is planned."""
-    return F.broadcast(df) if rows <= most else df
-
-
 def released() -> None:
     """Give freed memory of this process back to the system (glibc)."""
     with contextlib.suppress(OSError, AttributeError):

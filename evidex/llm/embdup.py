@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import dropped, written
 from .graph import components
 
-NEIGHBOURS, TABLES, BUCKET, JOIN, BLOCK = 8, 6, 256, 128, 512
+NEIGHBOURS, TABLES, BUCKET, JOIN = 8, 6, 256, 128
+BLOCK, PAIRS = 4096, 512  # vectors of a block whose links are counted, and of one whose links are found
 ROUNDS, UPDATES = 3, 0.02  # NN-descent stops after ROUNDS, or when a round changes a smaller share of the lists
 AUDIT, RECALL, RETRIES = 256, 0.97, 3  # vectors first audited, recall asked for, further attempts
 LINKS, MOST_AUDIT = 500, 8192  # true links an audit has to see, vectors audited at once
@@ -192,7 +193,7 @@ def _between(classes: DataFrame, hits: DataFrame, lists: DataFrame, n: int, long
 
 def _all_pairs(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     """Links that connect all linked vectors, from all pairs compared in blocks."""
-    blocks = max(1, math.ceil(n / (2 * BLOCK)))
+    blocks = max(1, math.ceil(n / PAIRS))
     placed = classes.withColumn("block", F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int")).withColumn("size", F.size("v"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("size", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "c", "v")
 
@@ -258,10 +259,15 @@ def _counted(classes: DataFrame, groups: DataFrame, threshold: float) -> DataFra
         c, m, block, x = table["c"].to_numpy(), table["m"].to_numpy(), table["block"].to_numpy(), unit(matrix(table["v"]))
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         low, high = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        linked = (x[low] @ x[high].T) >= threshold
-        if i == j:
-            np.fill_diagonal(linked, False)
-            return pa.table({"id": pa.array(c[low]), "n": pa.array(linked @ m[high])})
-        return pa.table({"id": pa.array(np.concatenate((c[low], c[high]))), "n": pa.array(np.concatenate((linked @ m[high], linked.T @ m[low])))})
+        n = np.zeros(len(c), np.int64)
+        for at in range(0, len(low), 256):
+            some = low[at : at + 256]
+            linked = (x[some] @ x[high].T) >= threshold
+            if i == j:
+                linked[np.arange(len(some)), at + np.arange(len(some))] = False
+            else:
+                n[high] += linked.T @ m[some]
+            n[some] += linked @ m[high]
+        return pa.table({"id": pa.array(c), "n": pa.array(n)})
 
     return dealt.groupBy("g", "i", "j").applyInArrow(counted, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))

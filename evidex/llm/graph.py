@@ -40,5 +40,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components: not settled after {most} rounds")
     stars = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
     return stars.unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
