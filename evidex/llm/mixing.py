@@ -22,7 +22,7 @@ from .common import dropped, written
 MOST_DOMAINS, SAMPLE_ROWS, FEATURES = 256, 1000, 4096
 SALTS = 64  # a domain's rows are ranked in so many parts first
 KAPPA = 24.0  # a longer text's evidence is scaled down to so many words, which keeps mixed texts' posteriors soft
-STEPS, FOLD, TOLERANCE, STALLED = 200, 10, 1e-4, 1e-3  # at most, steps folded into one table, error and relative gain that end the fit
+STEPS, FOLD, TOLERANCE, STALLED = 200, 10, 1e-4, 0.05  # at most, steps folded into one table, error and relative gain that end the fit
 BLANK = r"[\x20\x09-\x0D]+"
 MARK = "\u0000"  # stands once in every document's words, so that none is lost
 
