@@ -198,3 +198,29 @@ def excerpt(x: Column | str, needles: Column, limit: int) -> Column:
     end = F.least(F.length(text), start + limit)
     cut = F.concat(F.when(start > 0, "...").otherwise(""), F.trim(F.substring(text, start + 1, end - start)), F.when(end < F.length(text), "...").otherwise(""))
     return F.when(F.length(text) <= limit, text).otherwise(cut)
+
+
+def bounded_error(message: Column | str, source: Column | None = None, output: Column | None = None) -> Column:
+    """An error on one line of at most 1,000 characters, without the paths of the source and the output folder."""
+    out = strip(F.regexp_replace(_c(message), r"[\r\n]+", " "))
+    for path, name in ((source, "<source>"), (output, "<output>")):
+        if path is not None:
+            out = F.when(F.coalesce(F.length(path), F.lit(0)) > 0, F.replace(out, path, F.lit(name))).otherwise(out)
+    return F.substring(out, 1, 1000)
+
+
+def ratio(x: Column | str) -> Column:
+    """Value of "a/b" or of a number; 0 where it has none."""
+    part = lambda i: F.try_element_at(F.split(_c(x), "/"), F.lit(i)).try_cast("double")
+    return F.coalesce(F.when(F.instr(_c(x), "/") > 0, F.try_divide(part(1), part(2))).otherwise(part(1)), F.lit(0.0))
+
+
+def stem(path: Column) -> Column:
+    """A path without its last ending."""
+    return F.regexp_replace(path, r"\.[^./]*$", "")
+
+
+def relative_to(path: Column, root: Column) -> Column:
+    """path as seen from the folder root; null outside it."""
+    base = F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/"))
+    return F.when(F.startswith(path, base), F.substr(path, F.length(base) + 1))

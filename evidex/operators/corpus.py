@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -53,8 +55,27 @@ def distributions(metrics: DataFrame, names: list[str] | None = None) -> DataFra
     """metric, mean, p25, median, p75 of each named measure: one pass, partly summed before the shuffle."""
     names = names or METRICS
     long = metrics.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names])).alias("x")).select("x.*")
-    q = lambda p: F.round(F.coalesce(F.percentile("value", F.lit(p)), F.lit(0.0)), 4)
-    return long.groupBy("metric").agg(F.round(F.coalesce(F.avg("value"), F.lit(0.0)), 4).alias("mean"), q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"))
+    found = quantiles(long, ["metric"], "value", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    return found.select("metric", *[F.round(F.coalesce(c, F.lit(0.0)), 4).alias(c) for c in ("mean", "p25", "median", "p75")])
+
+
+def quantiles(rows: DataFrame, group: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """group, n, mean, largest and the named quantiles (linear interpolation) of each group.
+
+    Values are counted before the shuffle; running counts over the distinct ones, a
+    sort that spills, give the places, so no task holds a group's values.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    up = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = counts.withColumn("_upto", F.sum("_n").over(up))
+    total = counts.groupBy(*group).agg(F.sum("_n").alias("n"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"), F.max("_v").alias("largest"))
+    both = run.join(total, group)
+    place = lambda p: (F.col("n") - 1) * F.lit(float(p))
+    first = lambda ok: F.min(F.when(ok, F.col("_v")))
+    parts = [x for name, p in at.items() for x in (first(F.col("_upto") > F.floor(place(p))).alias(f"_{name}_low"), first(F.col("_upto") > F.ceil(place(p))).alias(f"_{name}_high"))]
+    found = both.groupBy(*group, "n", "mean", "largest").agg(*parts)
+    between = lambda name, p: F.col(f"_{name}_low") + (F.col(f"_{name}_high") - F.col(f"_{name}_low")) * (place(p) - F.floor(place(p)))
+    return found.select(*group, "n", "mean", "largest", *[between(name, p).alias(name) for name, p in at.items()])
 
 
 def top_per_group(rows: DataFrame, group: list[str], item: str, n: int) -> DataFrame:
@@ -81,44 +102,74 @@ def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return first.crossJoin(F.broadcast(n)).where(F.col("documents_with") >= F.greatest(F.lit(2), F.ceil(F.col("documents") * least_share))).select("line", "documents_with")
 
 
-def _simhash(texts: pd.Series, digest) -> pd.Series:
+class _Hashes(dict):
+    """Shingle -> its hash; emptied when full."""
+
+    def __init__(self, digest, most: int = 500_000):
+        self.digest, self.most = digest, most
+
+    def __missing__(self, shingle: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        self[shingle] = h = int.from_bytes(self.digest(shingle.encode("utf-8", "replace")), "big")
+        return h
+
+
+def _simhash(texts: pd.Series, hashes: _Hashes) -> pd.Series:
     out = []
     for text in texts:
         compact = "".join((text or "").lower().split())
-        grams = [compact[i : i + 5] for i in range(max(1, len(compact) - 4))]
-        grams = grams[:: max(1, len(grams) // 12000)]
-        hashes = np.frombuffer(b"".join(digest(g.encode("utf-8", "replace")) for g in grams), ">u8")
-        bits = ((hashes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).sum(0, dtype=np.int64)
-        on = 2 * bits - len(grams) >= 0
-        out.append(int((on.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64)))
+        step = max(1, max(1, len(compact) - 4) // 12000)
+        grams = [compact[i : i + 5] for i in range(0, max(1, len(compact) - 4), step)]
+        found, often = np.unique(np.fromiter(map(hashes.__getitem__, grams), np.uint64, len(grams)), return_counts=True)
+        bits = np.unpackbits(found.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        on = 2 * (often @ bits) - len(grams) >= 0  # from the highest bit
+        out.append(int(np.packbits(on).view(">i8")[0]))
     return pd.Series(out, dtype="int64")
 
 
+_md5 = _Hashes(lambda g: hashlib.md5(g).digest()[:8])
+_blake = _Hashes(lambda g: hashlib.blake2b(g, digest_size=8).digest())
+
+
 @pandas_udf(LongType())
 def simhash_md5(texts: pd.Series) -> pd.Series:
     """64-bit SimHash of five-character shingles by the upper half of MD5 (which SQL engines have)."""
-    return _simhash(texts, lambda g: hashlib.md5(g).digest()[:8])
+    return _simhash(texts, _md5)
 
 
 @pandas_udf(LongType())
 def simhash(texts: pd.Series) -> pd.Series:
     """64-bit SimHash of five-character shingles by BLAKE2b."""
-    return _simhash(texts, lambda g: hashlib.blake2b(g, digest_size=8).digest())
+    return _simhash(texts, _blake)
 
 
-def hamming_pairs(rows: DataFrame, id_col: str, hash_col: str, most: int = 5, same_key: str | None = None) -> DataFrame:
+def hamming_pairs(rows: DataFrame, id_col: str, hash_col: str, most: int = 5, same_key: str | None = None, blocks: int | None = None) -> DataFrame:
     """Pairs left_id < right_id whose 64-bit hashes differ in at most `most` bits: exact, by pigeonhole.
 
-    `most` differences leave one of most + 1 bands equal, so candidates come from an
-    equi-join on (band, value) of the distinct hashes; hashes shared by many rows are
+    Of `blocks` blocks of bits, `most` differences leave blocks - most alike, so
+    candidates come from an equi-join on every choice of that many blocks of the
+    distinct hashes.  More blocks make longer keys, and fewer candidates for more
+    rows of keys: one block is enough for few hashes, two and more are taken for many
+    (the number of distinct hashes is counted first).  Hashes shared by many rows are
     joined once and expanded at the end.  same_key: rows equal in it are no pair.
     """
-    bands = most + 1
-    cuts = [64 * k // bands for k in range(bands + 1)]
-    keys = rows.select(id_col, F.col(hash_col).alias("_h"), (F.col(same_key) if same_key else F.col(id_col).cast("string")).alias("_k"))
+    keys = rows.select(id_col, F.col(hash_col).alias("_h"), (F.col(same_key) if same_key else F.col(id_col).cast("string")).alias("_k")).persist(StorageLevel.MEMORY_AND_DISK)  # read three times; hashes cost far more than their rows
     distinct = keys.select("_h").distinct()
+    if blocks is None:
+        n = distinct.count()
+        blocks = most + (1 if n <= 1 << 17 or most > 6 else 2 if n <= 1 << 22 else 3)
+    cuts = [64 * k // blocks for k in range(blocks + 1)]
     piece = lambda k: F.shiftrightunsigned(F.shiftleft("_h", 64 - cuts[k + 1]), 64 - cuts[k + 1] + cuts[k])
-    banded = distinct.select("_h", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), piece(k).alias("value")) for k in range(bands)])).alias("b")).select("_h", "b.*")
+    choices = list(itertools.combinations(range(blocks), blocks - most))
+
+    def key(chosen):
+        out = F.lit(0).cast("bigint")
+        for k in chosen:
+            out = F.shiftleft(out, cuts[k + 1] - cuts[k]).bitwiseOR(piece(k))
+        return out
+
+    banded = distinct.select("_h", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), key(c).alias("value")) for i, c in enumerate(choices)])).alias("b")).select("_h", "b.*")
     left, right = banded.withColumnRenamed("_h", "x"), banded.withColumnRenamed("_h", "y")
     near = left.join(right, ["band", "value"]).where((F.col("x") <= F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most)).select("x", "y").distinct()
     a, b = (keys.select(F.col(id_col).alias(f"id{s}"), F.col("_h").alias(h), F.col("_k").alias(f"k{s}")) for s, h in (("1", "x"), ("2", "y")))

@@ -35,11 +35,10 @@ def patterns(cards: DataFrame) -> DataFrame:
     return cards.where("review_status = 'complete'").select("source_id", F.posexplode("patterns").alias("position", "p")).select("source_id", "position", "p.*")
 
 
-def support(rows: DataFrame, sources: DataFrame, evidence: bool = False) -> DataFrame:
-    """By key of the transferable patterns: sources, their share of all, mean confidence, first statement and its variants.
+def support(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """By key of the transferable patterns: sources, their share of all, mean confidence and the first statement.
 
-    Distinct sources are counted without collecting them; what is listed are distinct
-    statements, first by source and place.
+    Distinct sources are counted without collecting them.
     """
     some = rows.where(F.coalesce("transferable", F.lit(True)))
     n = sources.select("source_id").distinct().agg(F.greatest(F.lit(1), F.count("*")).alias("n"))
@@ -47,6 +46,29 @@ def support(rows: DataFrame, sources: DataFrame, evidence: bool = False) -> Data
     return counts.crossJoin(F.broadcast(n)).withColumn("support_share", F.round(F.col("support_count") / F.col("n"), 4)).drop("n")
 
 
+#: A pattern's fields whose values are listed by key.
+LISTED = ["statement", "mechanism", "trigger", "boundary"]
+
+
+def listed(rows: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """key, field, place (from 0), value and source_id: the values of each field, the first of those equal but for case and white space, in order.
+
+    A key's statement is the one at place 0, the others are its variants.  Long rows:
+    a key that all sources share makes no row larger.
+    """
+    some = rows.where(F.coalesce("transferable", F.lit(True)))
+    each = some.select("key", "source_id", "position", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields or LISTED])).alias("x")).select("key", "source_id", "position", "x.*")
+    first = first_seen(each, ["key", "field"], "value", ["source_id", "position"])
+    place = F.row_number().over(Window.partitionBy("key", "field").orderBy("source_id", "position")) - 1
+    return first.select("key", "field", place.alias("place"), "value", "source_id")
+
+
+def cited(rows: DataFrame) -> DataFrame:
+    """key, source_id and the fields of every piece of evidence of the transferable patterns."""
+    some = rows.where(F.coalesce("transferable", F.lit(True)))
+    return some.select("key", "source_id", F.explode("evidence").alias("e")).select("key", "source_id", "e.*")
+
+
 def tiers(supported: DataFrame, minimum: int = 2, share: float = 0.5) -> DataFrame:
     stable = (F.col("support_count") >= max(2, minimum)) & (F.col("support_share") >= min(1.0, max(0.0, share)))
     return supported.withColumn("tier", F.when(stable, "stable").when(F.col("support_count") >= 2, "conditional").otherwise("observation"))

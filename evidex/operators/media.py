@@ -136,3 +136,84 @@ def shift_of(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     peak = np.unravel_index(int(np.abs(np.fft.ifft2(f / np.maximum(np.abs(f), 1e-9))).argmax()), a.shape)
     dy, dx = (p - s if p > s // 2 else p for p, s in zip(peak, a.shape, strict=True))
     return dx / a.shape[1], dy / a.shape[0]
+
+
+def infer_kind(reference: Column, candidate: Column) -> Column:
+    """The kind both paths' endings belong to: image, video or text; null if there is none."""
+    from evidex.sources.files import KINDS
+
+    texts = [*KINDS["document"][:4], *KINDS["document"][4:6], ".csv", ".json", ".yaml", ".yml"]
+    ending = lambda p: F.regexp_extract(F.lower(p), r"(\.[^./]+)$", 1)
+    both = lambda kinds: ending(reference).isin(kinds) & ending(candidate).isin(kinds)
+    return F.when(both(KINDS["image"]), "image").when(both(KINDS["video"]), "video").when(both(texts), "text")
+
+
+#: Measures whose distribution a collection of images is described by.
+COLLECTION_METRICS = ["brightness", "contrast", "saturation", "warm_balance", "edge_density", "sharpness", "symmetry", "neutral_share"]
+
+
+def image_collection(images: DataFrame, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Counts by orientation (of width and height), and the distribution of each measure over the images."""
+    from evidex.operators.corpus import distributions
+
+    return images.groupBy(orientation(F.col("width"), F.col("height")).alias("orientation")).agg(F.count("*").alias("images")), distributions(images, names or COLLECTION_METRICS)
+
+
+# How much each likeness of two images weighs.
+IMAGE_WEIGHTS = {
+    "faithful": {"aspect_ratio": 1.0, "color_distribution": 1.5, "brightness": 1.0, "contrast": 1.0, "saturation": 1.0, "edge_density": 1.0, "spatial_layout": 2.0, "perceptual_hash": 2.0},
+    "style": {"aspect_ratio": 0.8, "color_distribution": 2.0, "brightness": 1.2, "contrast": 1.2, "saturation": 1.2, "edge_density": 1.2, "spatial_layout": 0.7, "perceptual_hash": 0.0},
+}
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation of two arrays of one length; null where one is constant."""
+    n = F.size(a).cast("double")
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    product = lambda x, y: total(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")))
+    whole = lambda x: total(F.transform(x, lambda v: v.cast("double")))
+    cross = lambda x, y: product(x, y) - whole(x) * whole(y) / n
+    spread = cross(a, a) * cross(b, b)
+    return F.when(spread > 0, cross(a, b) / F.sqrt(spread))
+
+
+def compare_images(pairs: DataFrame, features: DataFrame, mode: str = "style") -> DataFrame:
+    """A row of likenesses (per cent) and their weighted score for each pair (reference, candidate).
+
+    features: id, aspect, brightness, contrast, saturation, edge_density, histogram and layout (arrays), dhash.
+    """
+    from evidex.functions import text as T
+    from evidex.operators.compare import weighted_score
+
+    left, right = (features.select(F.col("id").alias(side), F.struct("*").alias(name)) for side, name in (("reference", "a"), ("candidate", "b")))
+    both = pairs.join(left, "reference").join(right, "candidate")
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    like = lambda c: unit(F.coalesce((correlation(a(c), b(c)) + 1) / 2, F.lit(0.0)))
+    measures = {
+        "aspect_ratio": T.closeness(a("aspect"), b("aspect")),
+        "color_distribution": like("histogram"),
+        **{m: T.bounded_similarity(a(m), b(m)) for m in ("brightness", "contrast", "saturation")},
+        "edge_density": T.closeness(a("edge_density"), b("edge_density")),
+        "spatial_layout": like("layout"),
+        "perceptual_hash": 1 - F.bit_count(a("dhash").bitwiseXOR(b("dhash"))) / 64,
+    }
+    return both.select("reference", "candidate", weighted_score(measures, IMAGE_WEIGHTS[mode]).alias("form_proxy_score"), *[F.round(c * 100, 2).alias(m) for m, c in measures.items()])
+
+
+def motion_pairs(frames: DataFrame, group: str, order: str) -> DataFrame:
+    """group, start, end, dx, dy (shares of width and height a second) of successive gray frames (group, order, width, height, pixels); frames of two sizes are no pair."""
+
+    def moved(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values(order)
+        out, last = [], None
+        for g, at, w, h, data in table[[group, order, "width", "height", "pixels"]].itertuples(index=False, name=None):
+            now = (at, np.frombuffer(bytes(data), np.uint8).reshape(h, w).astype(np.float64))
+            if last is not None and last[1].shape == now[1].shape and at > last[0]:
+                dx, dy = shift_of(last[1], now[1])
+                out.append((g, last[0], at, dx / (at - last[0]), dy / (at - last[0])))
+            last = now
+        return pd.DataFrame(out, columns=[group, "start", "end", "dx", "dy"])
+
+    kind = frames.schema[group].dataType.simpleString()
+    return frames.groupBy(group).applyInPandas(moved, f"{group} {kind}, start double, end double, dx double, dy double")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, evidence, library, timelines
+from . import documents, evidence, library, runs, timelines
 
-ALL = {**documents.QUERIES, **evidence.QUERIES, **library.QUERIES, **timelines.QUERIES}
+ALL = {**documents.QUERIES, **evidence.QUERIES, **library.QUERIES, **timelines.QUERIES, **runs.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

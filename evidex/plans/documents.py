@@ -97,7 +97,8 @@ def punctuation_hist(spark, d):
 
 def sentence_quantiles(spark, d):
     lengths = table(spark, d, "documents").select("lang", F.explode(T.sentences("text")).alias("s")).select("lang", T.word_length("s").alias("n"))
-    return lengths.groupBy("lang").agg(F.count("*").alias("sentences"), F.percentile("n", F.lit(0.25)).alias("p25"), F.percentile("n", F.lit(0.5)).alias("median"), F.percentile("n", F.lit(0.75)).alias("p75"), F.max("n").cast("bigint").alias("longest"))
+    found = corpus.quantiles(lengths, ["lang"], "n", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    return found.select("lang", F.col("n").alias("sentences"), "p25", "median", "p75", F.col("largest").cast("bigint").alias("longest"))
 
 
 def doc_samples(spark, d):
@@ -108,7 +109,7 @@ def doc_samples(spark, d):
 
 
 def doc_chunks(spark, d):
-    return chunking.chunks(table(spark, d, "documents"), 1000).select("doc_id", "chunk", "start", "end", "characters")
+    return chunking.chunks(table(spark, d, "documents"), 1000).select("doc_id", "chunk", "characters", F.md5("content").alias("content_md5"))
 
 
 def boilerplate_lines(spark, d):
@@ -122,7 +123,7 @@ def near_dup_pairs(spark, d):
 
 def near_dup_embeddings(spark, d):
     bits = F.aggregate(F.transform("embedding", lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
-    return corpus.hamming_pairs(table(spark, d, "embeddings").select("vec_id", bits.alias("h")), "vec_id", "h", 5)
+    return corpus.hamming_pairs(table(spark, d, "embeddings").select("vec_id", bits.alias("h")), "vec_id", "h", 8)
 
 
 def embedding_cosine(spark, d):
@@ -174,6 +175,32 @@ for _p, _to in T.REDACTIONS:
 _occ = lambda m: f"CAST((length(x) - length(replace(x, {q(m)}, ''))) / {len(m)} AS BIGINT)"
 _bits = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN CASE WHEN i = 64 THEN -9223372036854775808 ELSE CAST(1 AS BIGINT) << CAST(i - 1 AS INTEGER) END ELSE CAST(0 AS BIGINT) END)), lambda a, b: a | b)"
 
+
+
+def sql_runs(rows: str, key: str, glue: int, limit: int) -> str:
+    """Recursive tables z (running sizes) and r (key, first and last item, run) of consecutive items (key, k, x) that fit into the limit."""
+    return f"""z{glue} AS (SELECT {key}, k, x, sum(length(x) + {glue}) OVER (PARTITION BY {key} ORDER BY k) AS upto, sum(length(x) + {glue}) OVER (PARTITION BY {key} ORDER BY k) - length(x) - {glue} AS before FROM {rows}),
+r{glue}({key}, run, a, start) AS (SELECT {key}, 0, min(k), CAST(0 AS HUGEINT) FROM z{glue} GROUP BY {key}
+  UNION ALL SELECT r.{key}, r.run + 1, n.k, n.before FROM r{glue} r JOIN LATERAL (SELECT min(z.k) AS k, min(z.before) AS before FROM z{glue} z WHERE z.{key} = r.{key} AND z.k > r.a AND z.upto - r.start > {limit}) n ON n.k IS NOT NULL)"""
+
+
+#: Paragraphs, long ones as runs of sentences or as slices; then runs of these.
+CHUNKS = f"""
+WITH RECURSIVE g AS (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS p FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n{S}*\\n'), lambda x: {sql_strip('x')}), lambda x: x <> '') AS p FROM documents)),
+h AS (SELECT *, doc_id || ':' || i AS id, {sql_sentences('p')} AS s FROM g),
+e AS (SELECT id, unnest(range(len(s))) AS k, unnest(s) AS x FROM h WHERE length(p) > 1000 AND len(s) > 1),
+{sql_runs('e', 'id', 1, 1000)},
+q AS (SELECT id, run, a, lead(a) OVER (PARTITION BY id ORDER BY run) AS b FROM r1),
+f AS (SELECT doc_id, i, 0 AS j, p AS x FROM h WHERE length(p) <= 1000
+  UNION ALL SELECT doc_id, i, j, substring(p, CAST(j * 1000 + 1 AS INTEGER), 1000) FROM (SELECT *, unnest(range(CAST(ceil(length(p) / 1000.0) AS BIGINT))) AS j FROM h WHERE length(p) > 1000 AND len(s) <= 1)
+  UNION ALL SELECT h.doc_id, h.i, q.run, array_to_string(h.s[q.a + 1:coalesce(q.b, len(h.s))], chr(10)) FROM q JOIN h USING (id)),
+o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS k, x FROM f),
+{sql_runs('o', 'doc_id', 2, 1000)},
+m AS (SELECT doc_id, run, a, lead(a) OVER (PARTITION BY doc_id ORDER BY run) AS b FROM r2),
+c AS (SELECT m.doc_id, m.run, string_agg(o.x, chr(10) || chr(10) ORDER BY o.k) AS c FROM m JOIN o ON o.doc_id = m.doc_id AND o.k >= m.a AND (m.b IS NULL OR o.k < m.b) GROUP BY m.doc_id, m.run)
+SELECT doc_id, CAST(run AS INTEGER) AS chunk, CAST(length(c) AS INTEGER) AS characters, md5(c) AS content_md5 FROM c
+"""
+
 QUERIES = {
     "exact_dup_groups": (exact_dup_groups, f"SELECT sha256(lower(regexp_replace(text, '{S}', '', 'g'))) AS signature, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1"),
     "style_metrics": (style_metrics, STYLE + "SELECT * FROM style"),
@@ -183,7 +210,7 @@ QUERIES = {
     "punctuation_hist": (punctuation_hist, f"SELECT doc_id, mark, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(string_split(text, ''), lambda c: contains({q(T.PUNCTUATION)}, c) AND c <> '')) AS mark FROM documents) GROUP BY ALL"),
     "sentence_quantiles": (sentence_quantiles, f"WITH s AS (SELECT lang, unnest({sql_sentences('text')}) AS s FROM documents), n AS (SELECT lang, len({sql_words('s')}) + len(regexp_extract_all(s, '{SQL_CJK}')) AS n FROM s) SELECT lang, count(*) AS sentences, quantile_cont(CAST(n AS DOUBLE), 0.25) AS p25, quantile_cont(CAST(n AS DOUBLE), 0.5) AS median, quantile_cont(CAST(n AS DOUBLE), 0.75) AS p75, CAST(max(n) AS BIGINT) AS longest FROM n GROUP BY lang"),
     "doc_samples": (doc_samples, "SELECT doc_id, CASE WHEN length(text) > 2700 THEN substring(text, 1, 900) ELSE text END AS opening, CASE WHEN length(text) > 2700 THEN substring(text, greatest(0, length(text) // 2 - 450) + 1, 900) END AS middle, CASE WHEN length(text) > 2700 THEN right(text, 900) END AS ending FROM documents"),
-    "doc_chunks": (doc_chunks, None),
+    "doc_chunks": (doc_chunks, CHUNKS),
     "boilerplate_lines": (boilerplate_lines, f"WITH l AS (SELECT unnest(list_distinct(list_transform({sql_lines('text')}, lambda s: {sql_squeezed('s')}))) AS line FROM documents), c AS (SELECT line, count(*) AS documents_with FROM l WHERE length(regexp_replace(line, '{S}', '', 'g')) BETWEEN 8 AND 240 GROUP BY line ORDER BY documents_with DESC, line LIMIT 100) SELECT * FROM c WHERE documents_with >= greatest(2, ceil((SELECT count(*) FROM documents) * CAST(0.002 AS DOUBLE)))"),
     "near_dup_pairs": (near_dup_pairs, f"""
 WITH c AS (SELECT doc_id, lower(regexp_replace(text, '{S}', '', 'g')) AS c FROM documents),
@@ -192,7 +219,7 @@ s AS (SELECT doc_id, ('0x' || substr(md5(substring(c, CAST(i + 1 AS INTEGER), 5)
 b AS (SELECT doc_id, {', '.join(f'CASE WHEN 2 * count(*) FILTER ((h & CAST({1 << k} AS UBIGINT)) <> 0) >= count(*) THEN CAST({1 << k} AS UBIGINT) ELSE CAST(0 AS UBIGINT) END AS b{k}' for k in range(64))} FROM s GROUP BY doc_id),
 f AS (SELECT doc_id, {' | '.join(f'b{k}' for k in range(64))} AS h FROM b), x AS (SELECT f.doc_id, h, sig FROM f JOIN g USING (doc_id))
 SELECT a.doc_id AS left_id, b.doc_id AS right_id, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM x a JOIN x b ON a.doc_id < b.doc_id AND a.sig <> b.sig AND bit_count(xor(a.h, b.h)) <= 5"""),
-    "near_dup_embeddings": (near_dup_embeddings, f"WITH h AS (SELECT vec_id, {_bits} AS h FROM embeddings) SELECT a.vec_id AS left_id, b.vec_id AS right_id, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 5"),
+    "near_dup_embeddings": (near_dup_embeddings, f"WITH h AS (SELECT vec_id, {_bits} AS h FROM embeddings) SELECT a.vec_id AS left_id, b.vec_id AS right_id, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 8"),
     "embedding_cosine": (embedding_cosine, "WITH e AS (SELECT vec_id, label, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), c AS (SELECT label, i, avg(x) AS c FROM e GROUP BY ALL) SELECT vec_id, label, round(sum(x * c) / sqrt(sum(x * x) * sum(c * c)), 6) AS cosine FROM e JOIN c USING (label, i) GROUP BY vec_id, label"),
     "redacted_documents": (redacted_documents, f"SELECT doc_id, md5({_redact}) AS redacted_md5 FROM documents"),
     "secret_flags": (secret_flags, "SELECT doc_id, " + ", ".join(f"regexp_matches(text, {q(p)}) AS {n}" for n, p in T.SECRET_KINDS.items()) + " FROM documents"),

@@ -54,13 +54,13 @@ def pattern_tiers(spark, d):
 
 
 def unique_statements(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 12).alias("statement"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("statement"))
     return evidence.first_seen(rows, ["conv_id"], "statement", ["turn"]).select("conv_id", "turn", "statement")
 
 
 def missing_cards(spark, d):
     items = table(spark, d, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_id"))
-    cards = _cards(spark, d).where("doc_id % 10 <> 0").unionByName(_cards(spark, d).limit(0)).select("source_id")
+    cards = _cards(spark, d).where("doc_id % 10 <> 0").select("source_id")
     return evidence.missing(items, cards, ["source_id"])
 
 
@@ -106,11 +106,14 @@ def profile_violations(spark, d):
 def _evaluations(spark, d):
     c = table(spark, d, "conversations")
     verdict = F.element_at(F.array(*map(F.lit, ["pass", "pass", "pass", "fail", "not_applicable"])), (F.col("conv_id") * 7 + F.col("turn") * 3).cast("int") % 5 + 1)
-    e = F.struct(F.lit("candidate.md").alias("artifact"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("locator"), F.substring("text", 1, 20).alias("observation"))
-    dim = F.struct(F.concat(F.lit("dimension "), F.col("turn").cast("string")).alias("name"), verdict.alias("verdict"), (F.col("turn") % 2 == 0).alias("hard_constraint"), F.lit("seen in the turn").alias("notes"), F.array(e).alias("evidence"))
+    e = F.struct(F.lit("candidate.md").alias("artifact"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("locator"), F.col("text").alias("observation"))
+    odd = lambda k: F.col("conv_id") % k == 0
+    name = F.concat(F.lit("dimension "), F.when(odd(11), 0).otherwise(F.col("turn")).cast("string"))
+    hard = F.when(odd(13), F.lit(None).cast("boolean")).otherwise(F.col("turn") % 2 == 0)
+    dim = F.struct(name.alias("name"), F.when(odd(17), "maybe").otherwise(verdict).alias("verdict"), hard.alias("hard_constraint"), F.when(odd(19), "tbd").otherwise("seen in the turn").alias("notes"), F.when(odd(23), F.slice(F.array(e), 1, 0)).otherwise(F.array(e)).alias("evidence"))
     made = c.groupBy(F.col("conv_id").alias("evaluation_id")).agg(F.array_sort(F.collect_list(dim)).alias("dimensions"))
     passes = F.col("evaluation_id") % 2 == 0
-    return made.select("*", F.lit(1).alias("schema_version"), F.lit("complete").alias("review_status"), F.lit("candidate.md").alias("candidate"), F.lit("profile-a").alias("profile_id"), F.lit("match the voice").alias("objective"), F.array(F.lit("a.json")).alias("evidence_artifacts"), F.when(passes, "pass").otherwise("fail").alias("overall_verdict"), F.when(F.col("evaluation_id") % 3 == 0, F.array(F.lit("shorten it"))).otherwise(F.array().cast("array<string>")).alias("required_revisions"))
+    return made.select("*", F.when(F.col("evaluation_id") % 29 == 0, 2).otherwise(1).alias("schema_version"), F.when(F.col("evaluation_id") % 31 == 0, "draft").otherwise("complete").alias("review_status"), F.lit("candidate.md").alias("candidate"), F.when(F.col("evaluation_id") % 37 == 0, "-").otherwise("profile-a").alias("profile_id"), F.when(F.col("evaluation_id") % 41 == 0, "voice").otherwise("match the voice").alias("objective"), F.when(F.col("evaluation_id") % 43 == 0, F.array(F.lit("a.json"), F.lit("a.json"))).otherwise(F.array(F.lit("a.json"))).alias("evidence_artifacts"), F.when(passes, "pass").otherwise("fail").alias("overall_verdict"), F.when(F.col("evaluation_id") % 3 == 0, F.array(F.lit("shorten it"))).otherwise(F.array().cast("array<string>")).alias("required_revisions"))
 
 
 def evaluation_verdicts(spark, d):
@@ -118,7 +121,7 @@ def evaluation_verdicts(spark, d):
 
 
 def evaluation_violations(spark, d):
-    return contracts.evaluation_violations(_evaluations(spark, d)).where("rule LIKE 'pass%' OR rule LIKE 'fail%' OR rule = 'dimensions'")
+    return contracts.evaluation_violations(_evaluations(spark, d))
 
 
 def review_tasks(spark, d):
@@ -151,7 +154,7 @@ def path_inventory(spark, d):
 
 
 def capture_logs(spark, d):
-    o = table(spark, d, "conversations").select(F.col("conv_id").alias("log"), F.col("role").alias("action"), F.when(F.col("turn") == 3, " ").otherwise(F.substring("text", 1, 9)).alias("observation"), F.concat(F.lit("shot-"), (F.col("conv_id") % 50).cast("string")).alias("artifact"))
+    o = table(spark, d, "conversations").select(F.col("conv_id").alias("log"), F.col("role").alias("action"), F.when(F.col("turn") == 3, " ").otherwise(F.col("text")).alias("observation"), F.concat(F.lit("shot-"), (F.col("conv_id") % 50).cast("string")).alias("artifact"))
     files = table(spark, d, "pages").where("page_id % 4 <> 0").select(F.concat(F.lit("shot-"), F.col("page_id").cast("string")).alias("path"))
     return inventory.capture_summary(o, files)
 
@@ -161,13 +164,13 @@ _values = ", ".join(f"({k}, '{p[0]}', {p[1]}, '{p[2]}', '{p[3]}', '{p[4]}', {p[5
 _kinds = ", ".join(f"({k}, '{kind}', {pos}, '{dim}')" for k, kind in enumerate([*evidence.REVIEW_DIMENSIONS, "poem-analysis"]) for pos, dim in enumerate(evidence.REVIEW_DIMENSIONS.get(kind, evidence.REVIEW_DIMENSIONS["mixed-analysis"])))
 _media = [*evidence.EVALUATION_DIMENSIONS, *evidence.MEDIUM_ALIASES, "odd"]
 _templates = ", ".join(f"({k}, '{m}', {pos}, '{name}', {hard})" for k, m in enumerate(_media) for pos, (name, hard) in enumerate(evidence.EVALUATION_DIMENSIONS.get(evidence.MEDIUM_ALIASES.get(m, m), evidence.EVALUATION_DIMENSIONS["mixed"])))
-EVAL = """e AS (SELECT conv_id AS evaluation_id, turn, ['pass', 'pass', 'pass', 'fail', 'not_applicable'][CAST((conv_id * 7 + turn * 3) % 5 + 1 AS INTEGER)] AS v FROM conversations),
-r AS (SELECT evaluation_id, count(*) AS n, count(*) FILTER (v = 'pass') AS passed, count(*) FILTER (v = 'fail') AS failed, count(*) FILTER (turn % 2 = 0 AND v <> 'pass') AS unresolved FROM e GROUP BY evaluation_id)"""
+EVAL = """e AS (SELECT conv_id AS evaluation_id, turn, text, CASE WHEN conv_id % 17 = 0 THEN 'maybe' ELSE ['pass', 'pass', 'pass', 'fail', 'not_applicable'][CAST((conv_id * 7 + turn * 3) % 5 + 1 AS INTEGER)] END AS v FROM conversations),
+r AS (SELECT evaluation_id, count(*) AS n, count(*) FILTER (v = 'pass') AS passed, count(*) FILTER (v = 'fail') AS failed, count(*) FILTER (evaluation_id % 13 <> 0 AND turn % 2 = 0 AND v <> 'pass') AS unresolved FROM e GROUP BY evaluation_id)"""
 
 QUERIES = {
     "card_support": (card_support, f"WITH {CARDS} SELECT key, support_count, mean_confidence, statement, support_share FROM sup"),
     "pattern_tiers": (pattern_tiers, f"WITH {CARDS} SELECT key, CASE WHEN support_count >= 2 AND support_share >= 0.2 THEN 'stable' WHEN support_count >= 2 THEN 'conditional' ELSE 'observation' END AS tier, support_count FROM sup"),
-    "unique_statements": (unique_statements, r"WITH s AS (SELECT conv_id, turn, trim(regexp_replace(substring(text, 1, 12), '[ \t\n\r\f\x0b]+', ' ', 'g')) AS statement FROM conversations) SELECT conv_id, turn, statement FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(statement) ORDER BY turn) AS r FROM s WHERE statement <> '') WHERE r = 1"),
+    "unique_statements": (unique_statements, r"WITH s AS (SELECT conv_id, turn, trim(regexp_replace(text, '[ \t\n\r\f\x0b]+', ' ', 'g')) AS statement FROM conversations) SELECT conv_id, turn, statement FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(statement) ORDER BY turn) AS r FROM s WHERE statement <> '') WHERE r = 1"),
     "missing_cards": (missing_cards, f"WITH {CARDS} SELECT 'doc-' || doc_id AS source_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM doc WHERE doc_id % 10 <> 0)"),
     "unbacked_support": (unbacked_support, f"WITH {CARDS} SELECT DISTINCT source_id, key || 'x' AS key FROM pat WHERE right(source_id, 1) = '7'"),
     "citation_check": (citation_check, f"WITH {CARDS} SELECT DISTINCT source_id, CASE WHEN right(source_id, 1) = '7' THEN key || 'x' ELSE key END AS key, 'analysis/' || source_id AS artifact, CASE WHEN right(source_id, 1) = '3' THEN 'line 2' ELSE 'line 1' END AS locator FROM pat WHERE right(source_id, 1) IN ('7', '3')"),
@@ -175,7 +178,7 @@ QUERIES = {
     "card_violations": (card_violations, f"WITH {CARDS} SELECT source_id AS entity, 'source_type' AS rule FROM doc WHERE doc_id % 19 = 0 UNION ALL SELECT source_id, 'exclusion_reason' FROM doc WHERE quality = 0 AND doc_id % 3 = 0 UNION ALL SELECT source_id, 'pattern_boundary' FROM doc WHERE quality = 1 AND doc_id % 13 = 0 UNION ALL SELECT source_id, 'evidence_located' FROM doc WHERE quality = 1 AND doc_id % 17 = 0"),
     "profile_violations": (profile_violations, f"WITH {CARDS}, t AS (SELECT *, 'profile-' || CASE WHEN support_count >= 2 AND support_share >= 0.2 THEN 'stable' WHEN support_count >= 2 THEN 'conditional' ELSE 'observation' END AS entity FROM sup) SELECT DISTINCT entity, 'pattern_boundaries' AS rule FROM t UNION ALL SELECT DISTINCT entity, 'support_share' FROM t WHERE key LIKE '%5' UNION ALL SELECT DISTINCT t.entity, 'pattern_evidence' FROM t JOIN pat USING (key) WHERE transferable AND doc_id % 17 = 0"),
     "evaluation_verdicts": (evaluation_verdicts, f"WITH {EVAL} SELECT evaluation_id, passed, failed, unresolved FROM r"),
-    "evaluation_violations": (evaluation_violations, f"WITH {EVAL}, x AS (SELECT *, evaluation_id % 2 = 0 AS p, evaluation_id % 3 = 0 AS has FROM r) SELECT evaluation_id AS entity, 'dimensions' AS rule FROM x WHERE n < 3 UNION ALL SELECT evaluation_id, 'pass_without_failures' FROM x WHERE p AND failed > 0 UNION ALL SELECT evaluation_id, 'pass_without_unresolved' FROM x WHERE p AND unresolved > 0 UNION ALL SELECT evaluation_id, 'pass_needs_three' FROM x WHERE p AND passed < 3 UNION ALL SELECT evaluation_id, 'fail_needs_revisions' FROM x WHERE NOT p AND NOT has UNION ALL SELECT evaluation_id, 'pass_has_no_revisions' FROM x WHERE p AND has"),
+    "evaluation_violations": (evaluation_violations, f"WITH {EVAL}, x AS (SELECT *, evaluation_id % 2 = 0 AS p, evaluation_id % 3 = 0 AS has FROM r) SELECT evaluation_id AS entity, 'dimensions' AS rule FROM x WHERE n < 3 UNION ALL SELECT evaluation_id, 'pass_without_failures' FROM x WHERE p AND failed > 0 UNION ALL SELECT evaluation_id, 'pass_without_unresolved' FROM x WHERE p AND unresolved > 0 UNION ALL SELECT evaluation_id, 'pass_needs_three' FROM x WHERE p AND passed < 3 UNION ALL SELECT evaluation_id, 'fail_needs_revisions' FROM x WHERE NOT p AND NOT has UNION ALL SELECT evaluation_id, 'pass_has_no_revisions' FROM x WHERE p AND has UNION ALL SELECT evaluation_id, 'dimension_name' FROM x WHERE evaluation_id % 11 = 0 AND n > 1 UNION ALL SELECT evaluation_id, 'dimension_hard' FROM x WHERE evaluation_id % 13 = 0 UNION ALL SELECT evaluation_id, 'dimension_verdict' FROM x WHERE evaluation_id % 17 = 0 UNION ALL SELECT evaluation_id, 'dimension_notes' FROM x WHERE evaluation_id % 19 = 0 UNION ALL SELECT DISTINCT evaluation_id, 'dimension_evidence' FROM e WHERE evaluation_id % 23 = 0 OR length(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))) < 6 UNION ALL SELECT evaluation_id, 'schema_version' FROM x WHERE evaluation_id % 29 = 0 UNION ALL SELECT evaluation_id, 'review_status' FROM x WHERE evaluation_id % 31 = 0 UNION ALL SELECT evaluation_id, 'profile_id' FROM x WHERE evaluation_id % 37 = 0 UNION ALL SELECT evaluation_id, 'objective' FROM x WHERE evaluation_id % 41 = 0 UNION ALL SELECT evaluation_id, 'evidence_artifacts' FROM x WHERE evaluation_id % 43 = 0"),
     "evaluation_templates": (evaluation_templates, f"WITH m(k, medium, position, name, hard_constraint) AS (VALUES {_templates}) SELECT doc_id, medium, CAST(position AS INTEGER) AS position, name, hard_constraint FROM documents JOIN m ON k = doc_id % {len(_media)}"),
     "review_tasks": (review_tasks, f"WITH k(k, kind, position, dimension) AS (VALUES {_kinds}) SELECT doc_id, kind, CAST(position AS INTEGER) AS position, dimension FROM documents JOIN k ON k.k = doc_id % 12"),
     "manifest_violations": (manifest_violations, "WITH i AS (SELECT doc_id, 'manifest-' || lang AS m, 'doc-' || CASE WHEN doc_id % 101 = 100 THEN doc_id - 1 ELSE doc_id END AS id, CASE WHEN doc_id % 29 = 0 THEN 'failed' WHEN doc_id % 31 = 0 THEN 'odd' ELSE 'complete' END AS s FROM documents), g AS (SELECT * FROM i WHERE s <> 'failed') SELECT DISTINCT m AS entity, 'no_failed_items' AS rule FROM i WHERE s = 'failed' UNION ALL SELECT id, 'item_status' FROM g WHERE s = 'odd' UNION ALL SELECT id, 'analysis_there' FROM g WHERE doc_id % 37 = 0 UNION ALL SELECT id, 'analysis_status' FROM g WHERE doc_id % 37 <> 0 AND s = 'odd' UNION ALL SELECT id, 'analysis_id' FROM g WHERE doc_id % 37 <> 0 AND doc_id % 101 = 100 UNION ALL SELECT id, 'item_unique' FROM g GROUP BY id HAVING count(*) > 1"),

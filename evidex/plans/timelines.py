@@ -56,7 +56,7 @@ def phase_samples(spark, d):
 
 def timeline_union(spark, d):
     e = _events(spark, d).select(F.lit("event").alias("kind"), "sec", F.col("event_id").alias("id"), F.col("event_type").alias("label"))
-    c = table(spark, d, "conversations").select(F.lit("turn").alias("kind"), F.col("turn").cast("double").alias("sec"), F.col("conv_id").alias("id"), F.substring("text", 1, 40).alias("text"))
+    c = table(spark, d, "conversations").select(F.lit("turn").alias("kind"), F.col("turn").cast("double").alias("sec"), F.col("conv_id").alias("id"), "text")
     return L.timeline(e, c, order=["sec", "kind", "id"])
 
 
@@ -116,7 +116,7 @@ QUERIES = {
     "interval_points": (interval_points, f"WITH {EVENTS}, sp AS (SELECT user_id, round(max(sec) - min(sec), 3) AS d FROM e GROUP BY user_id), b AS (SELECT user_id, d, CASE WHEN ceil(d / 3600.0) > 100 THEN d / 100 ELSE 3600.0 END AS step FROM sp WHERE d > 0), p AS (SELECT *, unnest(range(CAST(least(ceil(d / step), 100) AS BIGINT))) AS point FROM b) SELECT user_id, CAST(point AS INTEGER) AS point, round(greatest(0.0, least(d - 0.001, point * step + step / 2)), 3) AS sec FROM p"),
     "even_sample": (even_sample, f"WITH {EVENTS}, r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM e) SELECT event_id, user_id FROM r WHERE n <= 7 OR list_contains({_places.format(m=7, m1=6)}, i)"),
     "phase_samples": (phase_samples, f"WITH {SEG}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY index) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM seg), c AS (SELECT * FROM r WHERE n <= 8 OR list_contains({_places.format(m=8, m1=7)}, i)), p(k, phase, f) AS (VALUES {', '.join(f'({k}, {chr(39)}{p}{chr(39)}, CAST({f} AS DOUBLE))' for k, (p, f) in enumerate(L.PHASES[5]))}), x AS (SELECT user_id, index AS scene_index, phase, round(start + greatest(0.0, \"end\" - start) * f, 3) AS timestamp, row_number() OVER (PARTITION BY user_id ORDER BY index, k) AS r FROM c CROSS JOIN p) SELECT user_id, scene_index, phase, timestamp FROM x WHERE r <= 40"),
-    "timeline_union": (timeline_union, f"WITH {EVENTS} SELECT 'event' AS kind, sec, event_id AS id, event_type AS label, NULL AS text FROM e UNION ALL SELECT 'turn', CAST(turn AS DOUBLE), conv_id, NULL, substring(text, 1, 40) FROM conversations"),
+    "timeline_union": (timeline_union, f"WITH {EVENTS} SELECT 'event' AS kind, sec, event_id AS id, event_type AS label, NULL AS text FROM e UNION ALL SELECT 'turn', CAST(turn AS DOUBLE), conv_id, NULL, text FROM conversations"),
     "segment_stats": (segment_stats, f"WITH {SEG}, r AS (SELECT user_id, duration AS v, row_number() OVER (PARTITION BY user_id ORDER BY duration) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM seg) SELECT user_id, count(*) AS n, round(avg(v), 6) AS mean, max(v) FILTER (r = n // 2 + 1) AS median, min(v) AS least, max(v) AS most FROM r GROUP BY user_id"),
     "dominant_type": (dominant_type, f"WITH {EVENTS}, g AS (SELECT user_id, event_type, count(*) AS n FROM e GROUP BY user_id, event_type), c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r FROM g), m AS (SELECT user_id, round(avg(value), 4) AS mean_confidence FROM e GROUP BY user_id) SELECT user_id, event_type AS dominant, mean_confidence FROM c JOIN m USING (user_id) WHERE r = 1"),
     "type_hist": (type_hist, "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"),

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidex.functions import text as T
@@ -42,6 +42,86 @@ def find_files(spark: SparkSession, folder: str, kinds: list[str] | None = None,
     return found
 
 
+def ordered(files: DataFrame, path: str = "relative_path") -> DataFrame:
+    """files by the lower case of their path, then the path."""
+    return files.orderBy(F.lower(path), path)
+
+
+# How many sources of each kind a run takes.
+MOST_SOURCES = {"document": 500, "image": 1000, "video": 100, "audio": 500, "repository": 20_000, "capture": 2000}
+
+
+def within(files: DataFrame, kind: str, most: int | None = None) -> DataFrame:
+    """files, or an error when there are more than a run of the kind takes; an optional guard, as nothing here needs the bound."""
+    most = MOST_SOURCES[kind] if most is None else most
+    if files.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} sources of kind {kind}")
+    return files
+
+
+# Names of the files that a library's index covers by default.
+INDEX_PATTERNS = ["*-收录.md", "*-蒸馏.md", "品牌视觉.md", "视觉蒸馏.md", "UI交互.md", "方法蒸馏.md", "技术方案.md"]
+
+
+def index_sources(files: DataFrame, patterns: list[str] | None = None, skip: tuple[str, ...] = (), path: str = "relative_path") -> DataFrame:
+    """Files whose name matches one of the patterns (* and ?), each once, without those in a folder to skip."""
+    name = F.substring_index(path, "/", -1)
+    some = F.lit(False)
+    for pattern in INDEX_PATTERNS if patterns is None else patterns:
+        some = some | name.rlike("^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern) + "$")
+    folders = F.slice(F.split(F.col(path), "/"), 1, F.greatest(F.lit(0), F.size(F.split(F.col(path), "/")) - 1))
+    return files.where(some & ~F.arrays_overlap(folders, F.array(*map(F.lit, skip)).cast("array<string>"))).dropDuplicates([path])
+
+
+INDEX_VERSION = 2
+
+
+def load_index(spark: SparkSession, folder: str, schema: str, version: int = INDEX_VERSION) -> DataFrame:
+    """An inverted table written with its schema_version; one of another version is refused, never read as if it were this one."""
+    rows = spark.read.schema(f"schema_version int, {schema}").parquet(folder)
+    other = rows.where(~F.col("schema_version").eqNullSafe(F.lit(version))).limit(1).count()
+    if other:
+        raise ValueError("unsupported index version; build it again")
+    return rows.drop("schema_version")
+
+
+def load_json(spark: SparkSession, folder: str, schema: str, pattern: str = "*.json") -> DataFrame:
+    """path, the schema's fields and status of every JSON document under a folder; a byte order mark is left out, a broken file fails alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    text = F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "")
+    parsed = files.select("path", F.from_json(text, f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"}).alias("d"))
+    return parsed.select("path", "d.*").withColumn("status", F.when(F.col("_broken").isNull(), "complete").otherwise("failed")).drop("_broken")
+
+
+def markdown_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path and text of all Markdown files under a folder."""
+    return decoded(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder)).select("path", "text")
+
+
+def sidecars(videos: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
+    """video, subtitles and place (from 1): subtitle files that lie beside a video under its name."""
+    endings = F.regexp_extract(F.lower(path), r"(\.[^./]+)$", 1)
+    found = files.where(endings.isin(".srt", ".vtt", ".ass")).select(F.col(path).alias("subtitles"), T.stem(F.col(path)).alias("_stem"))
+    both = videos.select(F.col(path).alias("video"), T.stem(F.col(path)).alias("_stem")).join(found, "_stem")
+    return both.select("video", "subtitles", F.row_number().over(Window.partitionBy("video").orderBy("subtitles")).alias("place"))
+
+
+#: Kinds whose content needs a library or a program that may be absent, and what then is to be done.
+OPTIONAL = {".pdf": "pdf", **dict.fromkeys(KINDS["video"], "media"), **dict.fromkeys([e for e in KINDS["audio"] if e != ".wav"], "media")}
+
+
+def unread(files: DataFrame, engines: tuple[str, ...] = (), path: str = "path") -> DataFrame:
+    """path, engine and status of files that need an engine which isn't at hand: none vanishes without a row."""
+    of = F.create_map(*[F.lit(x) for kv in OPTIONAL.items() for x in kv])
+    engine = F.try_element_at(of, F.regexp_extract(F.lower(path), r"(\.[^./]+)$", 1))
+    return files.select(path, engine.alias("engine")).where(F.col("engine").isNotNull() & ~F.col("engine").isin(*engines, "")).withColumn("status", F.lit("not_applicable"))
+
+
+def low_text_pages(pages: DataFrame, text: str = "text", least: int = 30) -> DataFrame:
+    """Pages with less than `least` characters, blanks at the ends not counted: they need to be looked at as pictures."""
+    return pages.where(F.length(T.strip(F.coalesce(F.col(text), F.lit("")))) < least)
+
+
 def source_id(relative_path: Column, content: Column) -> Column:
     """Slug of the name and ten digits of a hash over path and whole content, so equal files in two folders stay apart."""
     stem = F.regexp_replace(F.substring_index(relative_path, "/", -1), r"\.[^.]*$", "")
@@ -70,9 +150,10 @@ def decoded(files: DataFrame, content: str = "content", to: str = "text") -> Dat
     return files.withColumn(to, text_of(content))
 
 
-def small_text(content: Column, limit: int = 200_000) -> Column:
-    """The bytes of files that are worth reading as text: not longer than the limit, no zero byte in the first 4 kB."""
-    return F.when((F.length(content) <= limit) & (F.locate("00", F.regexp_replace(F.hex(F.substring(content, 1, 4096)), "(..)", "$1 ")) == 0), content)
+def small_texts(files: DataFrame, limit: int = 200_000) -> DataFrame:
+    """Files that are worth reading as text: not longer than the limit, no zero byte in the first 4 kB."""
+    head = F.regexp_replace(F.hex(F.substring("content", 1, 4096)), "(..)", "$1 ")
+    return files.where((F.length("content") <= limit) & (F.locate("00", head) == 0))
 
 
 def plain(text: Column) -> Column:
@@ -100,6 +181,18 @@ def cues(files: DataFrame, key: str, text: str = "text") -> DataFrame:
     return cut.where("text <> ''")
 
 
+ASS_LINE = r"(?m)^Dialogue:[ \t]*[^,\n]*,([0-9]+):([0-9]{2}):([0-9]{2})\.([0-9]{2}),([0-9]+):([0-9]{2}):([0-9]{2})\.([0-9]{2}),(?:[^,\n]*,){6}([^\n]*)$"
+
+
+def ass_cues(files: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, position, start, end, text of the dialogue lines of .ass subtitles; style overrides go, line break marks are blanks."""
+    rows = files.select(key, F.posexplode(F.regexp_extract_all(plain(F.col(text)), F.lit(ASS_LINE), F.lit(0))).alias("position", "l"))
+    part = lambda i: F.regexp_extract("l", ASS_LINE, i)
+    body = T.squeezed(F.regexp_replace(F.regexp_replace(part(9), r"\{[^}]*\}", ""), r"\\[Nnh]", " "))
+    at = lambda i: seconds(part(i), part(i + 1), part(i + 2), F.concat(part(i + 3), F.lit("0")))
+    return rows.select(key, "position", at(1).alias("start"), at(5).alias("end"), body.alias("text")).where("text <> ''")
+
+
 def subtitle_text(text: Column) -> Column:
     """The spoken lines of a subtitle file: no numbers, timings or tags."""
     kept = F.filter(T.lines(text), lambda x: ~x.rlike(r"^[0-9]+$") & ~x.rlike(rf"^{TIMING}"))
@@ -162,12 +255,20 @@ def office(files: DataFrame, key: str = "path") -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """path, kind, text and outline of all readable documents in a folder: one scan a format, put together by name."""
+    """path, kind, text, outline and status of all documents in a folder: one scan a format, put together by name.
+
+    A file without text is partial, a broken one failed; .pdf files need a library that isn't here and are not_applicable.
+    """
     files = find_files(spark, folder, ["document"])
     ending = F.regexp_extract(F.lower("path"), r"(\.[^./]+)$", 1)
     text = decoded(files.where(~ending.isin(".docx", ".pptx", ".pdf")).withColumn("kind", ending)).drop("content")
     as_web = F.col("kind").isin(".html", ".htm")
-    as_cues = F.col("kind").isin(".srt", ".vtt")
-    body = F.when(as_web, html.text("text")).when(as_cues, subtitle_text(F.col("text"))).otherwise(plain(F.col("text")))
+    as_cues = F.col("kind").isin(".srt", ".vtt", ".ass")
+    spoken = F.regexp_extract_all(plain(F.col("text")), F.lit(ASS_LINE), F.lit(9))
+    dialogue = F.array_join(F.transform(spoken, lambda x: T.squeezed(F.regexp_replace(F.regexp_replace(x, r"\{[^}]*\}", ""), r"\\[Nnh]", " "))), "\n")
+    body = F.when(as_web, html.text("text")).when(F.col("kind") == ".ass", dialogue).when(as_cues, subtitle_text(F.col("text"))).otherwise(plain(F.col("text")))
     plain_rows = text.select("path", "kind", body.alias("text"), F.when(~as_web & ~as_cues, outline(F.col("text"))).alias("outline"))
-    return plain_rows.unionByName(office(files).select("path", ending.alias("kind"), "text", "outline"))
+    plain_rows = plain_rows.withColumn("status", F.when(T.strip("text") == "", "partial").otherwise("complete"))
+    rows = plain_rows.unionByName(office(files).select("path", ending.alias("kind"), "text", "outline", "status"))
+    none = unread(files).select("path", ending.alias("kind"), F.lit("").alias("text"), F.lit(None).cast("array<struct<level:int,title:string>>").alias("outline"), "status")
+    return rows.unionByName(none)
