@@ -123,7 +123,7 @@ def near_dup_pairs(spark, d):
 
 def near_dup_embeddings(spark, d):
     bits = F.aggregate(F.transform("embedding", lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
-    return corpus.hamming_pairs(table(spark, d, "embeddings").select("vec_id", bits.alias("h")), "vec_id", "h", 8)
+    return corpus.hamming_pairs(table(spark, d, "embeddings").select("vec_id", bits.alias("h")), "vec_id", "h", 16)
 
 
 def embedding_cosine(spark, d):
@@ -219,7 +219,7 @@ s AS (SELECT doc_id, ('0x' || substr(md5(substring(c, CAST(i + 1 AS INTEGER), 5)
 b AS (SELECT doc_id, {', '.join(f'CASE WHEN 2 * count(*) FILTER ((h & CAST({1 << k} AS UBIGINT)) <> 0) >= count(*) THEN CAST({1 << k} AS UBIGINT) ELSE CAST(0 AS UBIGINT) END AS b{k}' for k in range(64))} FROM s GROUP BY doc_id),
 f AS (SELECT doc_id, {' | '.join(f'b{k}' for k in range(64))} AS h FROM b), x AS (SELECT f.doc_id, h, sig FROM f JOIN g USING (doc_id))
 SELECT a.doc_id AS left_id, b.doc_id AS right_id, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM x a JOIN x b ON a.doc_id < b.doc_id AND a.sig <> b.sig AND bit_count(xor(a.h, b.h)) <= 5"""),
-    "near_dup_embeddings": (near_dup_embeddings, f"WITH h AS (SELECT vec_id, {_bits} AS h FROM embeddings) SELECT a.vec_id AS left_id, b.vec_id AS right_id, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 8"),
+    "near_dup_embeddings": (near_dup_embeddings, f"WITH h AS (SELECT vec_id, {_bits} AS h FROM embeddings) SELECT a.vec_id AS left_id, b.vec_id AS right_id, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 16"),
     "embedding_cosine": (embedding_cosine, "WITH e AS (SELECT vec_id, label, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), c AS (SELECT label, i, avg(x) AS c FROM e GROUP BY ALL) SELECT vec_id, label, round(sum(x * c) / sqrt(sum(x * x) * sum(c * c)), 6) AS cosine FROM e JOIN c USING (label, i) GROUP BY vec_id, label"),
     "redacted_documents": (redacted_documents, f"SELECT doc_id, md5({_redact}) AS redacted_md5 FROM documents"),
     "secret_flags": (secret_flags, "SELECT doc_id, " + ", ".join(f"regexp_matches(text, {q(p)}) AS {n}" for n, p in T.SECRET_KINDS.items()) + " FROM documents"),
