@@ -148,7 +148,8 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     """Encode every whole text, then decode the ids again.
 
     Returns id_col, n_tokens, ids_sha256, decoded_sha256 and, with `with_ids`, ids (array<int>).
-    A null or empty text has no tokens (hashes of the empty string).  Rows are
+    A null or empty text has no tokens (hashes of the empty string); ids may be null
+    and of any type.  Rows are
     independent: ties, repeated rows and extra columns have no effect; an empty
     table gives an empty result.  One narrow map, no shuffle.  The rank file
     (some 50,000 lines; read once on the driver) is broadcast.
@@ -158,7 +159,6 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         data = f.read()
     key, shared = hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(load_ranks(data))
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(docs.schema[id_col].dataType.simpleString())
 
     def encode(batches):
         import regex
@@ -183,6 +183,4 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    if kind is None:
-        raise TypeError(f"{id_col} must be bigint, int or string")
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(encode, schema)

@@ -5,12 +5,16 @@ samples are taken; bands of ROWS samples give buckets, and the parities of all
 samples' positions give an odd sketch, a bitmap of BITS bits: the population
 count of two sketches' XOR estimates high similarities closely.  Candidates:
 
-1. in each bucket, every class against the bucket's smallest one, by sketch; the
-   components of what passes are clusters;
-2. within a cluster all classes, in blocks of BLOCK x BLOCK, on their full sets;
-   a block pair gives back only the links that join something;
-3. classes of one bucket and two clusters whose sketches are close enough, on
-   their full sets.
+1. in each bucket, every class against the bucket's smallest one, by sketch; what
+   passes is confirmed on full sets, and its links give components;
+2. in buckets that still hold several components, each class against the NEAREST
+   ones by sketch of others, confirmed likewise;
+3. in buckets that even then do, all pairs of two components that are close by
+   sketch.
+
+A group of copies of any size is one component after the first step, so its rows
+are as many as its classes.  Buckets are compared in blocks of BLOCK classes; a
+block pair gives back only pairs that are close by sketch.
 
 The sketch bound leaves SIGMAS deviations, so a link at the threshold passes.
 """
@@ -30,7 +34,7 @@ from .graph import components
 BANDS, ROWS, BITS = 42, 6, 512
 SAMPLES = BANDS * ROWS
 SIGMAS = 4.5
-BLOCK = 256
+BLOCK, NEAREST = 2048, 8
 #: Ids up to which the candidates' table is broadcast against the documents (8 bytes each).
 BROADCAST_IDS = 1_000_000
 WORDS_CACHED = 250_000
@@ -108,48 +112,31 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
-class Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
-def block_links(left: list[np.ndarray], right: list[np.ndarray], left_bits: np.ndarray, right_bits: np.ndarray, percent: int, bound: int, same: bool) -> list[tuple[int, int]]:
-    """Links between two blocks of sets, as few as join the same things; right is left where `same`."""
-    n = len(left)
-    sizes, others = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    everything, number = np.unique(np.concatenate(left + right), return_inverse=True)
-    number = number.ravel()
-    starts = np.concatenate(([0], np.cumsum(np.concatenate((sizes, others)))))
-    flat, first = number[starts[n] :], starts[n:-1] - starts[n]
-    mark, union, out = np.zeros(len(everything), np.int64), Union(n + (0 if same else len(right))), []
-    for i in range(n):
-        close = np.bitwise_count(left_bits[i] ^ right_bits).sum(1) <= bound
-        close &= 100 * np.minimum(sizes[i], others) >= percent * np.maximum(sizes[i], others)
-        if same:
-            close[: i + 1] = False
-        if not close.any():
-            continue
-        own = number[starts[i] : starts[i + 1]]
-        mark[own] = 1
-        shared = np.add.reduceat(mark[flat], first)
-        mark[own] = 0
-        linked = close & (100 * shared >= percent * (sizes[i] + others - shared))
-        for j in np.flatnonzero(linked).tolist():
-            if union.join(i, j if same else n + j):
-                out.append((i, j))
-    return out
+def close_pairs(table: pa.Table, bound: int, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of two blocks' rows whose components (g) differ and whose sketches are within the bound, and the distance; of each row the `most` nearest."""
+    block, g = table["block"].to_numpy(), table["g"].to_numpy()
+    sketch = table["_bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(g), -1)  # bitwise_count takes the absolute value of signed ones
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    low, high = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    out = []
+    for at in range(0, len(low), 64):
+        some = low[at : at + 64]
+        distance = np.zeros((len(some), len(high)), np.int32)
+        for k in range(sketch.shape[1]):
+            distance += np.bitwise_count(sketch[some, k][:, None] ^ sketch[high, k])
+        near = (distance <= bound) & (g[some][:, None] != g[high])
+        if i == j:
+            near &= some[:, None] < high
+        x, y = np.nonzero(near)
+        d = distance[x, y]
+        if most is not None and len(x):
+            order = np.lexsort((y, d, x))
+            x, y, d = x[order], y[order], d[order]
+            first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+            kept = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x)))) < most
+            x, y, d = x[kept], y[kept], d[kept]
+        out.append((some[x], high[y], d))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
 def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -199,7 +186,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     reps = written(known.groupBy("_key").agg(F.min("_id").alias("_rep")), "nd-reps")
     # the rows that stand for their class; an id may stand for several classes, so classes have keys of their own
     firsts = known.join(reps, "_key").where("_id = _rep").groupBy("_key").agg(F.first("_id").alias("_id"), F.first("n_shingles").alias("n"), F.first("_bands").alias("_bands"), F.first("_bits").alias("_bits"))
-    classes = written(firsts.withColumn("c", F.xxhash64("_key")), "nd-classes")
+    classes = written(firsts.withColumn("c", F.monotonically_increasing_id()), "nd-classes")
 
     rows = classes.select("c", F.explode("_bands").alias("b"))
     heads = rows.groupBy("b").agg(F.min("c").alias("r"), F.count("*").alias("k")).where("k > 1").select("b", "r")
@@ -207,19 +194,35 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     bits = classes.select("c", "_bits")
     stars = buckets.where("c <> r").select("c", "r").distinct()
     near = stars.join(bits, "c").join(bits.select(F.col("c").alias("r"), F.col("_bits").alias("_rbits")), "r").where(F.expr(f"{_distance('_bits', '_rbits')} <= {bound}"))
-    clusters = written(components(near.select(F.col("c").alias("u"), F.col("r").alias("v"))), "nd-clusters")
+    near = written(near.select(F.col("c").alias("u"), F.col("r").alias("v")), "nd-near")
+
+    def mixed(groups: DataFrame) -> DataFrame:
+        """Blocks of the buckets whose classes are of several groups (id, component): i, j, block, c, g, _bits."""
+        placed = buckets.select("b", "c").join(groups.select(F.col("id").alias("c"), "component"), "c", "left").select("b", "c", F.coalesce("component", "c").alias("g"))
+        some = placed.groupBy("b").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo <> hi").select("b", "blocks")
+        own = placed.join(some, "b").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+        dealt = own.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        return dealt.select("b", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "g").join(bits, "c")
+
+    def close(groups: DataFrame, most: int | None) -> DataFrame:
+        """u and v: classes of one bucket and two groups that are close by sketch."""
+
+        def found(table: pa.Table) -> pa.Table:
+            c = table["c"].to_numpy()
+            x, y, _ = close_pairs(table, bound, most)
+            return pa.table({"u": pa.array(np.maximum(c[x], c[y]), pa.int64()), "v": pa.array(np.minimum(c[x], c[y]), pa.int64())})
 
-    # pairs of one bucket and two clusters
-    placed = buckets.select("b", "c").join(clusters.withColumnRenamed("id", "c"), "c", "left").select("b", "c", F.coalesce("component", "c").alias("g"))
-    placed = written(placed, "nd-placed")
-    mixed_buckets = placed.groupBy("b").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("b")
-    across = written(placed.join(mixed_buckets, "b").join(bits, "c"), "nd-across")
-    one, two = across.select("b", *[F.col(x).alias(x + "1") for x in ("c", "g", "_bits")]), across.select("b", *[F.col(x).alias(x + "2") for x in ("c", "g", "_bits")])
-    pairs = one.join(two, "b").where(F.expr(f"c1 < c2 AND g1 <> g2 AND {_distance('_bits1', '_bits2')} <= {bound}")).select("c1", "c2").distinct()
-    pairs = written(pairs, "nd-pairs")
+        return mixed(groups).groupBy("b", "i", "j").applyInArrow(found, "u bigint, v bigint").distinct()
+
+    def partners(table: pa.Table) -> pa.Table:
+        x, y, _ = close_pairs(table, bound, None)
+        return pa.table({"c": pa.array(np.unique(table["c"].to_numpy()[np.concatenate((x, y)).astype(np.int64)]), pa.int64())})
+
+    clusters = written(components(near), "nd-clusters")
+    across = written(mixed(clusters).groupBy("b", "i", "j").applyInArrow(partners, "c bigint").distinct(), "nd-across")
 
     # full sets of the classes in question, read from the documents again
-    wanted = clusters.select(F.col("id").alias("c")).unionAll(pairs.select("c1")).unionAll(pairs.select("c2")).distinct()
+    wanted = clusters.select(F.col("id").alias("c")).unionAll(across).distinct()
     ids = written(wanted.join(classes.select("c", "_key", "_id"), "c"), "nd-wanted")
     n_ids = ids.count()
     chosen = ids.select("_id").distinct()
@@ -235,28 +238,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     sets = texts.select("_text").mapInArrow(sets_of, "_key binary, _set binary").groupBy("_key").agg(F.first("_set").alias("_set"))
     sets = written(sets.join(ids.select("_key", "c"), "_key").select("c", "_set"), "nd-sets")
 
-    # within clusters, in blocks
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = clusters.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(F.col("component").alias("g"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("id").alias("c"))
-    dealt = dealt.join(sets, "c").join(bits, "c")
-
-    def inside(table: pa.Table) -> pa.Table:
-        block = table["block"].to_numpy()
-        c = table["c"].to_numpy()
-        own = [np.frombuffer(x.as_py(), np.uint64) for x in table["_set"]]
-        sketch = np.array(table["_bits"].to_pylist(), np.int64).reshape(len(c), -1).view(np.uint64)  # bitwise_count takes the absolute value of signed ones
-        low, high = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-        same = table["i"][0].as_py() == table["j"][0].as_py()
-        found = []
-        if len(low) and len(high) and (same or block.min() != block.max()):
-            links = block_links([own[k] for k in low], [own[k] for k in high], sketch[low], sketch[high], percent, bound, same)
-            found = [(c[low[a]], c[high[b]]) for a, b in links]
-        return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
-
-    within = dealt.groupBy("g", "i", "j").applyInArrow(inside, "u bigint, v bigint")
-    checked = pairs.join(sets.select(F.col("c").alias("c1"), F.col("_set").alias("s1")), "c1").join(sets.select(F.col("c").alias("c2"), F.col("_set").alias("s2")), "c2")
-
     def confirmed(batches):
         for batch in batches:
             u, v = [], []
@@ -268,7 +249,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
                     v.append(b.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    links = written(within.unionAll(checked.select("c1", "c2", "s1", "s2").mapInArrow(confirmed, "u bigint, v bigint")), "nd-links")
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (u, v) that full sets confirm."""
+        both = pairs.join(sets.select(F.col("c").alias("u"), F.col("_set").alias("s1")), "u").join(sets.select(F.col("c").alias("v"), F.col("_set").alias("s2")), "v")
+        return both.select("u", "v", "s1", "s2").mapInArrow(confirmed, "u bigint, v bigint")
+
+    links = written(linked(near), "nd-links")
+    tested = near
+    for most in (NEAREST, None):
+        groups = written(components(links), "nd-groups")
+        pairs = written(close(groups, most).join(tested, ["u", "v"], "left_anti"), "nd-pairs")
+        dropped(groups)
+        if pairs.isEmpty():
+            dropped(pairs)
+            break
+        then = written(links.unionAll(linked(pairs)), "nd-links")
+        dropped(links)
+        links, tested = then, tested.unionAll(pairs)
     # from classes to ids: class to class, and the classes that one repeated id is in
     at = classes.select("c", F.col("_id"))
     edges = links.join(at.select(F.col("c").alias("u"), F.col("_id").alias("a")), "u").join(at.select(F.col("c").alias("v"), F.col("_id").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -284,7 +281,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         of = found.select(F.col("id").alias("_id"), F.col("component").alias("_component"))
     out = sig.select("_id", "n_shingles").join(of, "_id", "left")
     component = F.coalesce("_component", "_id")
-    dropped(buckets, placed, across, pairs, sets, links, ids, clusters)
+    dropped(buckets, near, across, sets, ids, clusters)
     return out.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
 
 

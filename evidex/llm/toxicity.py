@@ -191,8 +191,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     text = docs.where(training).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text IS NOT NULL")
     # ids first, in one scan, so that no text is shuffled
     found = text.select("_id", F.length("_text").alias("_long"), F.xxhash64(F.col("_id").cast("string")).alias("_h")).join(rows, "_id").withColumn("_salt", F.pmod("_h", F.lit(SALTS)))
-    for by in (("_label", "_salt"), ("_label",)):
-        found = found.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "_id", "_long"))).where(F.col("_r") <= SAMPLE_ROWS)
+    for by, most in ((("_label", "_salt"), min(SAMPLE_ROWS, 1000)), (("_label",), SAMPLE_ROWS)):  # up to 1000 rows are cut before the shuffle
+        found = found.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "_id", "_long"))).where(F.col("_r") <= most)
     chosen, size = [], {0: 0, 1: 0}
     for r in found.orderBy("_label", "_r").collect():
         if size[r._label] + r._long <= SAMPLE_CHARS:

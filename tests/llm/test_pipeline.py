@@ -65,3 +65,39 @@ def test_encoding_round_trip(stages):
 
 def test_run(spark, stages):
     assert p.run(spark, SF).count() == stages[5].count()
+
+
+CLASH = ["spans", "_copies", "copies", "score", "kept", "rate", "_row", "_times", "_at", "_id", "_text", "_key", "domain", "component_id", "base_spans", "n_email"]
+
+
+def test_odd_rows_and_clashing_names_pass_all_stages(spark):
+    """Nulls in any column, empty and long texts, repeated rows, and columns named like the operators' own."""
+    long = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
+    rows = [(900_001, None, None, None, None), (900_002, "", "en", None, 0), (900_003, " \t ", None, "web", 3), (None, "a text without an id", "en", "web", 20), (900_004, long, "en", "web", len(long)), (900_005, "mail a.b@c.example.org now", None, None, None)]
+    rows += [(900_006, "one and the same short text that comes again and again", "en", "web", 54)] * 3
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = base.limit(60).unionByName(spark.createDataFrame(rows, base.schema))
+    for c in CLASH:
+        docs = docs.withColumn(c, p.F.lit("kept"))
+    docs = p.written(docs, "test")
+    for _, stage in p.STAGES[:-1]:
+        then = p.written(stage(spark, docs, SF), "test")
+        assert then.columns == docs.columns and not then.where(" OR ".join(f"`{c}` <> 'kept'" for c in CLASH)).count()
+        docs = then
+    ids = [r.doc_id for r in docs.select("doc_id").collect()]
+    assert {900_001, 900_002, 900_003, None, 900_004, 900_005, 900_006} <= set(ids)
+    texts = {r.doc_id: r.text for r in docs.where("doc_id > 900000").collect()}
+    assert texts[900_001] is None and texts[900_002] == "" and "@" not in texts[900_005]
+    assert p.encoding(spark, docs, SF).count() == len(ids)
+
+
+def test_a_row_repeated_under_its_id_stays_once(spark):
+    rows = [(i, f"document number {i} speaks of {i * 7} other things entirely") for i in (1, 2, 3)]
+    docs = spark.createDataFrame(rows * 2, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in p.near_dedup(spark, docs, SF).collect()) == [1, 2, 3]
+
+
+def test_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, docs, SF).count() == 0
