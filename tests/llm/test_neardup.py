@@ -94,12 +94,3 @@ def test_sketch_estimates():
     b = np.concatenate((a[: 919], rng.integers(0, 1 << 63, 81, dtype=np.uint64)))  # similarity 0.85
     x, y = (neardup.odd_sketch(neardup.minhash(np.unique(s))) for s in (a, b))
     assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= neardup.most_bits(85) < 180
-
-
-def test_one_large_cluster_is_settled_by_its_stars(spark, monkeypatch):
-    """Thousands of near copies of one text: no pair of them needs to be compared beyond those with a bucket's first."""
-    words = [f"w{i}" for i in range(120)]
-    rows = [(i, " ".join([*words[:60], f"own{i}", *words[60:]])) for i in range(3000)] + [(5000 + i, " ".join(f"z{i}y{k}" for k in range(50))) for i in range(50)]
-    monkeypatch.setattr(neardup, "close_pairs", None)  # a call would fail
-    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert all(r.component_id == (0 if r.doc_id < 3000 else r.doc_id) for r in got) and len(got) == 3050
