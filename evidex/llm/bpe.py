@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import worker_cache
 
 #: Entries of a worker's pre-token cache; it is emptied when full, so memory stays bounded.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 450_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:

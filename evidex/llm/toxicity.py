@@ -30,7 +30,7 @@ EDGES = "!?.,;:#*&%$|()[]{}'\"-_=~<>/"  # a word's n-grams are those of what sta
 #: Bounds of the training sample: labelled rows of each class, and characters of all their texts together.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000_000
 SALTS = 64  # a class's rows are ranked in so many parts first
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 
 
 def words_of(text: str | None) -> list[str]:
