@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import worker_cache
 
 #: Entries of a worker's pre-token cache; it is emptied when full, so memory stays bounded.
-CACHE_ENTRIES = 450_000
+CACHE_ENTRIES = 600_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -144,14 +144,15 @@ class PieceCache(dict):
         return packed
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Encode every whole text, then decode the ids again.
 
     Returns id_col, n_tokens, ids_sha256, decoded_sha256 and, with `with_ids`, ids (array<int>).
     A null or empty text has no tokens (hashes of the empty string); ids may be null
     and of any type.  Rows are
     independent: ties, repeated rows and extra columns have no effect; an empty
-    table gives an empty result.  One narrow map, no shuffle.  The rank file
+    table gives an empty result.  cache_entries: pre-tokens a worker keeps; it has no
+    effect on the result.  One narrow map, no shuffle.  The rank file
     (some 50,000 lines; read once on the driver) is broadcast.
     """
     spark = docs.sparkSession
@@ -163,7 +164,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     def encode(batches):
         import regex
 
-        cache, pieces = worker_cache(("bpe", key), lambda: PieceCache(ByteBpe(shared.value))), regex.compile(pattern)
+        cache, pieces = worker_cache(("bpe", key), lambda: PieceCache(ByteBpe(shared.value), cache_entries)), regex.compile(pattern)
         bpe = cache.bpe
         for batch in batches:
             counts, ids_hash, text_hash, ids = [], [], [], []
