@@ -20,6 +20,8 @@ from evidex.llm.toxicity import without_toxic
 
 #: Rows that go to a Python worker at once: texts can be long, and two workers share an executor with its heap.
 BATCH_ROWS = 1000
+#: Pre-tokens that a worker keeps: half of what encoding alone keeps, as the stages before it have used memory too.
+CACHED_PIECES = 300_000
 
 
 def _bounded(spark: SparkSession) -> None:
@@ -79,7 +81,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, their number, and hashes of the ids and of what they decode to; none for a null or empty text."""
     _bounded(spark)
-    return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+    return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, cache_entries=CACHED_PIECES)
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("personal_data", personal_data), ("mixing", mixing), ("encoding", encoding)]
