@@ -7,10 +7,14 @@ count of two sketches' XOR estimates high similarities closely.  Candidates:
 
 1. in each bucket, every class against the bucket's smallest one, by sketch; the
    components of what passes are clusters;
-2. within a cluster all classes, in blocks of BLOCK x BLOCK, on their full sets;
-   a block pair gives back only the links that join something;
-3. classes of one bucket and two clusters whose sketches are close enough, on
-   their full sets.
+2. a cluster's blocks of some BLOCK classes, each with itself and with the
+   cluster's pivots (some PIVOTS of its classes), on their full sets; a block gives
+   back only the links that join something;
+3. in a cluster of several blocks, the classes that these links leave outside its
+   largest part, with all its classes, block by block: two classes of that part are
+   joined already, so its pairs need no comparison;
+4. classes of one bucket and two clusters whose sketches are close enough, on
+   their full sets; classes of the bucket's main cluster don't meet one another.
 
 The sketch bound leaves SIGMAS deviations, so a link at the threshold passes.
 """
@@ -18,6 +22,7 @@ The sketch bound leaves SIGMAS deviations, so a link at the threshold passes.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,8 @@ BANDS, ROWS, BITS = 42, 6, 512
 SAMPLES = BANDS * ROWS
 SIGMAS = 4.5
 BLOCK = 256
+PIVOT = -1  # marks them in a block
+PIVOTS = 32  # expected number in a cluster of several blocks; it decides what step 3 has left to do, not the result
 #: Ids up to which the candidates' table is broadcast against the documents (8 bytes each).
 BROADCAST_IDS = 1_000_000
 WORDS_CACHED = 250_000
@@ -182,6 +189,32 @@ def _distance(a: str, b: str) -> str:
     return " + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(BITS // 64))
 
 
+def first_blocks(members: DataFrame) -> DataFrame:
+    """g, i = j, block, c: each class in its own block, and the pivots of a cluster of several blocks in all its others.
+
+    members: g (cluster), c (class), blocks (of the cluster) and block (of the class).
+    """
+    pivots = members.where("blocks > 1").where(F.expr(f"pmod(xxhash64(c, 2), CAST(ceil(blocks * {BLOCK} / {PIVOTS}) AS BIGINT)) = 0"))
+    elsewhere = pivots.withColumn("i", F.explode(F.expr("sequence(0, blocks - 1)"))).where("i <> block").select("g", "i", F.col("i").alias("j"), F.lit(PIVOT).alias("block"), "c")
+    return members.select("g", F.col("block").alias("i"), F.col("block").alias("j"), "block", "c").unionAll(elsewhere)
+
+
+def remaining_blocks(members: DataFrame) -> DataFrame:
+    """g, i, j, block, c: pairs of blocks that hold all pairs of a cluster but those within its largest part.
+
+    members: as for first_blocks, and part (of the cluster, joined already).  The
+    classes of other parts get blocks of their own, from 0; those of the largest part
+    follow and meet only them.
+    """
+    parts = members.groupBy("g", "part").count().groupBy("g").agg(F.max_by("part", F.struct("count", "part")).alias("main"), (F.sum("count") - F.max("count")).alias("others"))
+    split = members.join(parts.where("others > 0").select("g", "main", F.ceil(F.col("others") / BLOCK).cast("int").alias("out")), "g")
+    inner, outer = split.where("part = main"), split.where("part <> main")
+    outer = outer.withColumn("block", F.expr("CAST(pmod(xxhash64(c, 1), out) AS INT)")).withColumn("other", F.explode(F.expr("sequence(0, out + blocks - 1)")))
+    inner = inner.withColumn("block", F.expr("out + block")).withColumn("other", F.explode(F.expr("sequence(0, out - 1)")))
+    both = outer.select("g", "block", "other", "c").unionAll(inner.select("g", "block", "other", "c"))
+    return both.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id (smallest id reachable by links, itself included) and kept (id = component) of every row.
 
@@ -209,13 +242,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     near = stars.join(bits, "c").join(bits.select(F.col("c").alias("r"), F.col("_bits").alias("_rbits")), "r").where(F.expr(f"{_distance('_bits', '_rbits')} <= {bound}"))
     clusters = written(components(near.select(F.col("c").alias("u"), F.col("r").alias("v"))), "nd-clusters")
 
-    # pairs of one bucket and two clusters
+    # pairs of one bucket and two clusters: classes outside the bucket's main cluster with all of the bucket
     placed = buckets.select("b", "c").join(clusters.withColumnRenamed("id", "c"), "c", "left").select("b", "c", F.coalesce("component", "c").alias("g"))
     placed = written(placed, "nd-placed")
-    mixed_buckets = placed.groupBy("b").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("b")
-    across = written(placed.join(mixed_buckets, "b").join(bits, "c"), "nd-across")
-    one, two = across.select("b", *[F.col(x).alias(x + "1") for x in ("c", "g", "_bits")]), across.select("b", *[F.col(x).alias(x + "2") for x in ("c", "g", "_bits")])
-    pairs = one.join(two, "b").where(F.expr(f"c1 < c2 AND g1 <> g2 AND {_distance('_bits1', '_bits2')} <= {bound}")).select("c1", "c2").distinct()
+    several = placed.groupBy("b", "g").count().groupBy("b").agg(F.max_by("g", F.struct("count", "g")).alias("main"), F.count("*").alias("n")).where("n > 1").select("b", "main")
+    across = written(placed.join(several, "b").join(bits, "c"), "nd-across")
+    one = across.where("g <> main").select("b", *[F.col(x).alias(x + "1") for x in ("c", "g", "_bits")])
+    two = across.select("b", (F.col("g") == F.col("main")).alias("inner"), *[F.col(x).alias(x + "2") for x in ("c", "g", "_bits")])
+    pairs = one.join(two, "b").where(F.expr(f"g1 <> g2 AND (inner OR c1 < c2) AND {_distance('_bits1', '_bits2')} <= {bound}")).select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).distinct()
     pairs = written(pairs, "nd-pairs")
 
     # full sets of the classes in question, read from the documents again
@@ -235,26 +269,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     sets = texts.select("_text").mapInArrow(sets_of, "_key binary, _set binary").groupBy("_key").agg(F.first("_set").alias("_set"))
     sets = written(sets.join(ids.select("_key", "c"), "_key").select("c", "_set"), "nd-sets")
 
-    # within clusters, in blocks
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = clusters.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(F.col("component").alias("g"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("id").alias("c"))
-    dealt = dealt.join(sets, "c").join(bits, "c")
-
     def inside(table: pa.Table) -> pa.Table:
-        block = table["block"].to_numpy()
-        c = table["c"].to_numpy()
+        block, c = table["block"].to_numpy(), table["c"].to_numpy()
         own = [np.frombuffer(x.as_py(), np.uint64) for x in table["_set"]]
         sketch = np.array(table["_bits"].to_pylist(), np.int64).reshape(len(c), -1).view(np.uint64)  # bitwise_count takes the absolute value of signed ones
-        low, high = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-        same = table["i"][0].as_py() == table["j"][0].as_py()
-        found = []
-        if len(low) and len(high) and (same or block.min() != block.max()):
-            links = block_links([own[k] for k in low], [own[k] for k in high], sketch[low], sketch[high], percent, bound, same)
-            found = [(c[low[a]], c[high[b]]) for a, b in links]
-        return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
-
-    within = dealt.groupBy("g", "i", "j").applyInArrow(inside, "u bigint, v bigint")
+        low, high, pivots = (np.flatnonzero(block == x) for x in (table["i"][0].as_py(), table["j"][0].as_py(), PIVOT))
+        same, u, v = table["i"][0].as_py() == table["j"][0].as_py(), [], []
+        for left, right in ((low, high), (low, pivots)):
+            if len(left) and len(right):
+                links = block_links([own[k] for k in left], [own[k] for k in right], sketch[left], sketch[right], percent, bound, same and right is high)
+                u += [c[left[a]] for a, _ in links]
+                v += [c[right[b]] for _, b in links]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        return dealt.join(sets, "c").join(bits, "c").groupBy("g", "i", "j").applyInArrow(inside, "u bigint, v bigint")
+
+    # within clusters
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = written(clusters.join(sizes, "component").select(F.col("component").alias("g"), F.col("id").alias("c"), "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")), "nd-members")
+    within = written(compared(first_blocks(members)), "nd-within")
+    large = members.where("blocks > 1")
+    written_links = [within]
+    if not large.isEmpty():
+        joined = written(components(within.join(large.select(F.col("c").alias("u")), "u", "left_semi")), "nd-joined")
+        written_links.append(written(compared(remaining_blocks(large.join(joined.select(F.col("id").alias("c"), "component"), "c", "left").withColumn("part", F.coalesce("component", "c")))), "nd-rest"))
+        dropped(joined)
     checked = pairs.join(sets.select(F.col("c").alias("c1"), F.col("_set").alias("s1")), "c1").join(sets.select(F.col("c").alias("c2"), F.col("_set").alias("s2")), "c2")
 
     def confirmed(batches):
@@ -268,7 +308,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
                     v.append(b.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    links = written(within.unionAll(checked.select("c1", "c2", "s1", "s2").mapInArrow(confirmed, "u bigint, v bigint")), "nd-links")
+    links = written(reduce(DataFrame.unionAll, written_links).unionAll(checked.select("c1", "c2", "s1", "s2").mapInArrow(confirmed, "u bigint, v bigint")), "nd-links")
     # from classes to ids: class to class, and the classes that one repeated id is in
     at = classes.select("c", F.col("_id"))
     edges = links.join(at.select(F.col("c").alias("u"), F.col("_id").alias("a")), "u").join(at.select(F.col("c").alias("v"), F.col("_id").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -284,7 +324,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         of = found.select(F.col("id").alias("_id"), F.col("component").alias("_component"))
     out = sig.select("_id", "n_shingles").join(of, "_id", "left")
     component = F.coalesce("_component", "_id")
-    dropped(buckets, placed, across, pairs, sets, links, ids, clusters)
+    dropped(buckets, placed, across, pairs, sets, links, ids, clusters, members, *written_links)
     return out.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
 
 

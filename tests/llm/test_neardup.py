@@ -63,6 +63,50 @@ def test_against_brute_force(spark, monkeypatch, size, percent, block):
     assert len(got) == len(rows)
 
 
+def test_large_cluster_is_linear(spark, monkeypatch):
+    """Near copies of one text, and some outside their threshold: as brute force says; rows dealt grow with the classes, not their pairs."""
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    monkeypatch.setattr(neardup, "PIVOTS", 8)
+    rng = random.Random(9)
+    base, n = [f"b{k}" for k in range(260)], 700
+    rows = []
+    for i in range(n):
+        t = list(base)
+        for _ in range(rng.choice([1, 1, 2]) if i % 100 else 40):
+            t[rng.randrange(len(t))] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    dealt = {}
+    for name in ("first_blocks", "remaining_blocks"):
+        def counted(members, name=name, true=getattr(neardup, name)):
+            out = true(members)
+            dealt[name] = out.count()
+            return out
+
+        monkeypatch.setattr(neardup, name, counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 80).collect()}
+    assert got == brute(rows, 5, 80)
+    assert 2 <= len({x[1] for x in got.values()}) < 20
+    assert n < dealt["first_blocks"] < 2 * n  # all pairs of blocks: 22 times
+    assert dealt["remaining_blocks"] < 4 * n
+
+
+def test_blocks_hold_every_pair(spark):
+    """What first_blocks and remaining_blocks bring together is all pairs but those of the largest part."""
+    rng = random.Random(2)
+    rows = [(g, c, -(-n // neardup.BLOCK), c % -(-n // neardup.BLOCK), rng.choice([0, 0, 0, c])) for g, n in ((1, 600), (2, 300)) for c in range(n)]
+    members = spark.createDataFrame(rows, "g bigint, c bigint, blocks int, block int, part bigint")
+    met = {1: set(), 2: set()}
+    tasks = {}
+    for r in neardup.remaining_blocks(members).collect():
+        tasks.setdefault((r.g, r.i, r.j), {}).setdefault(r.block, []).append(r.c)
+    for (g, i, j), by in tasks.items():
+        assert set(by) <= {i, j}
+        met[g] |= {(min(a, b), max(a, b)) for a in by.get(i, []) for b in by.get(j, []) if a != b}
+    part = {(g, c): p for g, c, _, _, p in rows}
+    for g, n in ((1, 600), (2, 300)):
+        assert met[g] == {(a, b) for a in range(n) for b in range(a + 1, n) if part[g, a] or part[g, b]}
+
+
 def test_repeated_ids_and_empty(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "A b c d"), (3, "q r s"), (2, "q r s"), (None, "a b c d")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
