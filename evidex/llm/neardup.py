@@ -38,7 +38,7 @@ SIGMAS = 4.5
 BLOCK = 256
 PIVOT = -1  # marks them in a block
 PIVOTS = 32  # expected number in a cluster of several blocks; it decides what step 3 has left to do, not the result
-#: Ids up to which the candidates' table is broadcast against the documents (8 bytes each).
+#: Rows up to which ids are broadcast against the documents, and clusters against their classes (8 to 24 bytes each).
 BROADCAST_IDS = 1_000_000
 WORDS_CACHED = 250_000
 
@@ -207,7 +207,8 @@ def remaining_blocks(members: DataFrame) -> DataFrame:
     follow and meet only them.
     """
     parts = members.groupBy("g", "part").count().groupBy("g").agg(F.max_by("part", F.struct("count", "part")).alias("main"), (F.sum("count") - F.max("count")).alias("others"))
-    split = members.join(parts.where("others > 0").select("g", "main", F.ceil(F.col("others") / BLOCK).cast("int").alias("out")), "g")
+    parts = written(parts.where("others > 0").select("g", "main", F.ceil(F.col("others") / BLOCK).cast("int").alias("out")), "nd-parts")
+    split = members.join(F.broadcast(parts) if parts.count() <= BROADCAST_IDS else parts, "g")  # else a large cluster's rows go to one task
     inner, outer = split.where("part = main"), split.where("part <> main")
     outer = outer.withColumn("block", F.expr("CAST(pmod(xxhash64(c, 1), out) AS INT)")).withColumn("other", F.explode(F.expr("sequence(0, out + blocks - 1)")))
     inner = inner.withColumn("block", F.expr("out + block")).withColumn("other", F.explode(F.expr("sequence(0, out - 1)")))
