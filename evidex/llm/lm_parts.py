@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import math
 import struct
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterable
+from itertools import chain, compress, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +128,40 @@ def code_of(word: bytes, code: dict[bytes, int]) -> int:
     return found if found is not None else (xxhash.xxh3_64_intdigest(word) | 1 << 63) - (1 << 64)
 
 
+def codes_of(words: Iterable[bytes], n: int, code: dict[bytes, int]) -> np.ndarray:
+    """code_of each of n words."""
+    import xxhash
+
+    out = np.fromiter(map(code.get, words, repeat(-1)), np.int64, n)
+    rare = out < 0
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, compress(words, rare.tolist())), np.uint64, int(rare.sum()))
+    out[rare] = (hashes | np.uint64(1 << 63)).view(np.int64)
+    return out
+
+
+def _order(key: np.ndarray) -> np.ndarray:
+    """As np.argsort(key, kind="stable"); where they fit, the keys are sorted with their places below them, which takes less time."""
+    bits = len(key).bit_length()
+    if not len(key) or key.min() < 0 or int(key.max()).bit_length() + bits > 63:
+        return np.argsort(key, kind="stable")
+    return np.sort(key.astype(np.int64) << bits | np.arange(len(key))) & ((1 << bits) - 1)
+
+
+def _dealt_order(group: np.ndarray) -> np.ndarray:
+    """As np.argsort(group, kind="stable") for numbers of groups, which mostly fit 16 bits."""
+    return np.argsort(group.astype(np.uint16, copy=False) if group.max(initial=0) < 1 << 16 else group, kind="stable")
+
+
+def _placed(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of x (from 0, below size), ascending, and each one's place among them."""
+    if size > 8 * len(x):
+        values, at = np.unique(x, return_inverse=True)
+        return values, at.ravel()
+    there = np.zeros(size, bool)
+    there[x] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[x]
+
+
 def pair_hash(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (_mixed(u ^ _mixed(v).view(np.int64)) >> np.uint64(1)).view(np.int64)
 
@@ -153,29 +189,28 @@ def records(docs: DataFrame, words_of, parts: int, shared, only_hot: bool = Fals
 
     def block_rows(block: int, ids: list[pa.Array], train: list[bool], texts: list[list[bytes]]):
         number, hot_parts, pair_parts = shared.value
-        flat = [w for t in texts for w in t]
-        own = list(dict.fromkeys(flat))
-        codes = np.array([END, *(code_of(w, number) for w in own)], np.int64)
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        own = defaultdict(count(1).__next__)  # a word's number in this block
+        flat = np.fromiter(map(own.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()) - len(texts))
+        codes = np.concatenate((np.array([END], np.int64), codes_of(own, len(own), number)))
         home, dealt = (_mixed(codes) % np.uint64(parts)).astype(np.int64), hot_parts(codes).astype(np.int64)
         order = np.lexsort((codes, home, dealt > 0))  # words of one partition stand together
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         codes, home, dealt = codes[order], home[order], dealt[order]
-        index = dict(zip(own, rank[1:].tolist(), strict=True))
-        sizes = np.array([len(t) + 1 for t in texts], np.int64)
         first = np.cumsum(sizes) - sizes
         seq = np.empty(sizes.sum(), np.int64)
         inner = np.ones(len(seq), bool)
         inner[first] = False
         seq[first] = rank[0]
-        seq[inner] = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+        seq[inner] = rank[flat]
         u, w = np.empty_like(seq), np.empty_like(seq)
         u[1:], w[:-1] = seq[:-1], seq[1:]
         last = first + sizes - 1
         u[first], w[last] = seq[last], rank[0]
         row = np.repeat(np.arange(len(texts)) * 2 + np.array(train, np.int64), sizes)
         by = np.flatnonzero(dealt[seq]) if only_hot else np.arange(len(seq))
-        by = by[np.argsort(seq[by] * len(codes) + w[by], kind="stable")]
+        by = by[_order(seq[by] * len(codes) + w[by])]
         u, v, w, row = u[by], seq[by], w[by], row[by]
         place, kind = home[v], np.full(len(v), PLAIN)
         some = np.flatnonzero(dealt[v])
@@ -185,19 +220,19 @@ def records(docs: DataFrame, words_of, parts: int, shared, only_hot: bool = Fals
             spread = int(_mixed(np.array([block]))[0]) & 0x7FFFFFFF
             place[some] = (place[some] + both % dealt[v[some]] + np.where(often > 0, spread % np.maximum(often, 1), 0)) % parts
             kind[some] = np.where(often > 0, BY_BLOCK, BY_PAIR)
-            by = np.argsort(kind * parts + place, kind="stable")
+            by = _dealt_order(kind * parts + place)
             u, v, w, row, place, kind = u[by], v[by], w[by], row[by], place[by], kind[by]
         group = kind * parts + place
         cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        by_code = np.argsort(codes)
+        new = np.empty(len(codes), np.int64)
+        new[by_code] = np.arange(len(codes))
+        ordered = codes[by_code]
         out = []
         for a, b in zip(cuts, np.append(cuts[1:], len(v)), strict=True):
-            words, at = np.unique(np.concatenate((u[a:b], v[a:b], w[a:b])), return_inverse=True)
-            by_code = np.argsort(codes[words])
-            new = np.empty(len(words), np.int64)
-            new[by_code] = np.arange(len(words))
-            at = new[at.ravel()].astype(np.uint32)
-            n = b - a
-            data = packed(np.diff(codes[words][by_code], prepend=0), at[:n], np.diff(at[n : 2 * n], prepend=np.uint32(0)), np.diff(at[2 * n :], prepend=np.uint32(0)), row[a:b].astype(np.uint32))
+            words, at = _placed(new[np.concatenate((u[a:b], v[a:b], w[a:b]))], len(codes))
+            at, n = at.astype(np.uint32), b - a
+            data = packed(np.diff(ordered[words], prepend=0), at[:n], np.diff(at[n : 2 * n], prepend=np.uint32(0)), np.diff(at[2 * n :], prepend=np.uint32(0)), row[a:b].astype(np.uint32))
             out.append((int(place[a]), block, int(kind[a]), data))
         if not only_hot:
             sink = pa.BufferOutputStream()
@@ -230,6 +265,15 @@ def records(docs: DataFrame, words_of, parts: int, shared, only_hot: bool = Fals
     return rows.repartition(parts, "part")
 
 
+def _joined(pieces: list, words: list | None = None, kind=np.int32) -> np.ndarray:
+    """The pieces, one after the other, each taken from its words where they are given; they are freed on the way, as a partition is large."""
+    out, at = np.empty(sum(map(len, pieces)), kind), 0
+    for k, x in enumerate(pieces):
+        out[at : at + len(x)] = x if words is None else words[k][x]
+        pieces[k], at = None, at + len(x)
+    return out
+
+
 class Part:
     """A partition's records of one kind: codes of its words, and u, v, w (places among the codes), text and train of each record.
 
@@ -237,20 +281,24 @@ class Part:
     """
 
     def __init__(self, table: pa.Table, kind: int):
-        words, columns, self.texts = [], [], []
+        words, columns, self.texts = [], ([], [], [], [], []), []
         n = 0
         for block, k, payload in zip(table["block"], table["kind"], table["payload"], strict=True):
             if k.as_py() == kind:
                 own, u, v, w, row = unpacked(payload.as_py(), "qIIII")
-                rows, text = np.unique(row >> 1, return_inverse=True)
+                rows, text = _placed(row >> 1, int(row.max()) // 2 + 1)
                 words.append(np.cumsum(own))
-                columns.append((u.astype(np.int32), np.cumsum(v, dtype=np.uint32).astype(np.int32), np.cumsum(w, dtype=np.uint32).astype(np.int32), (text.ravel() + n).astype(np.int32), (row & 1).astype(bool)))
-                self.texts.append((block.as_py(), n, rows))
+                for to, x in zip(columns, (u.astype(np.int32), np.cumsum(v, dtype=np.uint32).astype(np.int32), np.cumsum(w, dtype=np.uint32).astype(np.int32), (text + n).astype(np.int32), (row & 1).astype(bool)), strict=True):
+                    to.append(x)
+                self.texts.append((block.as_py(), n, rows.astype(np.uint32)))
                 n += len(rows)
-        self.codes = np.unique(np.concatenate(words)) if words else np.zeros(0, np.int64)
-        at = [np.searchsorted(self.codes, c).astype(np.int32) for c in words]
-        self.u, self.v, self.w = (np.concatenate([a[c[k]] for c, a in zip(columns, at, strict=True)]) if columns else np.zeros(0, np.int32) for k in range(3))
-        self.text, self.train = (np.concatenate([c[k] for c in columns]) if columns else np.zeros(0, np.int32) for k in (3, 4))
+        self.codes = np.concatenate(words) if words else np.zeros(0, np.int64)
+        self.codes.sort()
+        self.codes = self.codes[np.append(True, self.codes[1:] != self.codes[:-1])[: len(self.codes)]]
+        for k, c in enumerate(words):
+            words[k] = np.searchsorted(self.codes, c).astype(np.int32)
+        self.u, self.v, self.w = (_joined(columns[k], words) for k in range(3))
+        self.text, self.train = _joined(columns[3]), _joined(columns[4], kind=bool)
         self.n_texts = n
 
     def slices(self, by: str = "v"):
@@ -258,7 +306,8 @@ class Part:
         word = getattr(self, by)
         count = np.bincount(word, minlength=len(self.codes))
         of = (np.cumsum(count) - count) // SLICE_TOKENS  # by word
-        order = np.argsort(of[word].astype(np.int32), kind="stable").astype(np.int32)
+        of = of.astype(np.uint16) if of.max(initial=0) < 1 << 16 else of
+        order = _dealt_order(of[word]).astype(np.int32)
         ends = np.cumsum(np.bincount(of, count).astype(np.int64)) if len(of) else []
         begin = 0
         for end in ends:
@@ -280,8 +329,12 @@ class Part:
 
 def _grouped(key: np.ndarray, weight: np.ndarray):
     """Distinct keys, each record's place among them, and the sums of weight."""
-    keys, at = np.unique(key, return_inverse=True)
-    at = at.ravel().astype(np.int32)
+    order = _order(key)
+    keys = key[order]
+    first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    at = np.empty(len(key), np.int32)
+    at[order] = np.cumsum(first, dtype=np.int32) - 1
+    keys = keys[first]
     return keys, at, np.bincount(at, weight, len(keys))
 
 
@@ -413,6 +466,7 @@ def part_scores(docs: DataFrame, rows: int, words_of, discount: float) -> DataFr
                 after = codes, s
                 if kind == PLAIN:
                     totals = [totals[0] + float(count.sum()), totals[1] + float((count > 0).sum())]
+            _ = p = None  # a slice keeps its partition's order
         released()
         part, u, s = np.where(hot_parts(after[0]) > 0, -1, home(after[0])).tolist(), after[0].tolist(), after[1].tolist()
         return pa.table({"part": pa.array([*part, None], pa.int32()), "v": pa.array([*u, None], pa.int64()), "s": pa.array([*s, totals[0]], pa.float64()), "types": pa.array([*[None] * len(u), totals[1]], pa.float64())})
@@ -456,7 +510,7 @@ def part_scores(docs: DataFrame, rows: int, words_of, discount: float) -> DataFr
             for block, a, texts in whole.texts:
                 own = [np.rint(x[a : a + len(texts)]) for x in sums]
                 out.append((block, PLAIN, packed(np.diff(texts, prepend=np.uint32(0)), *(x.astype(np.int64) for x in own[:2]), *(x.astype(np.uint32) for x in own[2:]))))
-            del whole
+            del whole, some, p, sums, own
         for b, k, data in zip(left["block"], left["kind"], left["payload"], strict=True):
             if k.as_py() == IDS:
                 out.append((b.as_py(), IDS, struct.pack("<dd", total, math.log10(norm)) + data.as_py()))

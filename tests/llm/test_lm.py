@@ -135,3 +135,22 @@ def test_all_grams_count_whatever_the_bounds(spark, monkeypatch, form):
     got = sorted((r.doc_id, round(r.score, 4)) for r in lm.lm_scores(df, F.col("doc_id") % 5 != 1).collect())
     want = sorted((i, round(score(t), 4)) for i, t in data)
     assert [i for i, _ in got] == [i for i, _ in want] and all(abs(a[1] - b[1]) < 1e-3 for a, b in zip(got, want))
+
+
+def test_fast_forms_equal_plain_ones():
+    """Sorting with places below the keys, places by flags and codes of many words: what argsort, unique and code_of give."""
+    rng = np.random.default_rng(1)
+    for low, high, n in [(0, 1, 0), (0, 1, 1), (0, 50, 4000), (0, 1 << 40, 4000), (0, 1 << 62, 4000), (-9, 9, 4000), (0, 1 << 20, 300)]:
+        x = rng.integers(low, high, n)
+        assert (lm_parts._order(x) == np.argsort(x, kind="stable")).all()
+        keys, at, sums = lm_parts._grouped(x, np.ones(n))
+        want, places = np.unique(x, return_inverse=True)
+        assert (keys == want).all() and (at == places).all() and (sums == np.bincount(places, minlength=len(want))).all()
+        if low >= 0:
+            assert (lm_parts._dealt_order(x) == np.argsort(x, kind="stable")).all()
+        if low >= 0 and high <= 1 << 20:
+            found, places = lm_parts._placed(x, high)
+            assert (found == want).all() and (found[places] == x).all()
+    words = [f"w{i}é".encode() for i in range(500)]
+    code = {b"": 0} | {w: i + 1 for i, w in enumerate(words[:90])}
+    assert lm_parts.codes_of(dict.fromkeys(words), 500, code).tolist() == [lm_parts.code_of(w, code) for w in words]
