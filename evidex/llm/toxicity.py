@@ -12,6 +12,7 @@ fit, so that a long text doesn't dilute a short passage.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import released, worker_cache
 from .subword import gram_ids
 
 BUCKETS = 1 << 17
@@ -31,6 +32,8 @@ EDGES = "!?.,;:#*&%$|()[]{}'\"-_=~<>/"  # a word's n-grams are those of what sta
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000_000
 SALTS = 64  # a class's rows are ranked in so many parts first
 CACHE_WORDS = 120_000
+#: Numbers that a step of the fit holds beside its parameters: the driver trains, and has less memory than an executor.
+BLOCK = 16_384
 
 
 def words_of(text: str | None) -> list[str]:
@@ -51,13 +54,41 @@ def core(word: str) -> str:
 def grams_by_word(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket ids of the words' n-grams, word by word, and how many each word has."""
     ids, sizes = [], []
-    for at in range(0, len(words), 20_000):
-        owner, grams = gram_ids([core(w) for w in words[at : at + 20_000]], GRAMS, BUCKETS)
+    for at in range(0, len(words), 5000):
+        owner, grams = gram_ids([core(w) for w in words[at : at + 5000]], GRAMS, BUCKETS)
         ids.append(grams.astype(np.int32))
-        sizes.append(np.bincount(owner, minlength=len(words[at : at + 20_000])))
+        sizes.append(np.bincount(owner, minlength=len(words[at : at + 5000])))
     return np.concatenate(ids), np.concatenate(sizes)
 
 
+def summed(values: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Each word's sum of its n-grams' values, some thousand words at a time."""
+    out = np.empty(len(offsets) - 1)
+    for at in range(0, len(out), 5000):
+        cuts = offsets[at : at + 5001]
+        out[at : at + 5000] = np.add.reduceat(values[flat[cuts[0] : cuts[-1]]], cuts[:-1] - cuts[0])
+    return out
+
+
+def running(values: np.ndarray) -> np.ndarray:
+    """Running sums, from 0 on."""
+    out = np.zeros(len(values) + 1, values.dtype)
+    np.cumsum(values, out=out[1:])
+    return out
+
+
+def adam(q: np.ndarray, g: np.ndarray, m: np.ndarray, s: np.ndarray, step: int, rate: float) -> None:
+    """One step of Adam on q in place, BLOCK numbers at a time."""
+    q, g, m, s = (x.reshape(-1) for x in (q, g, m, s))
+    for at in range(0, len(q), BLOCK):
+        gb, mb, sb = g[at : at + BLOCK], m[at : at + BLOCK], s[at : at + BLOCK]
+        mb *= 0.9
+        mb += 0.1 * gb
+        sb *= 0.999
+        sb += 0.001 * gb * gb
+        q[at : at + BLOCK] -= rate * (mb / (1 - 0.9**step)) / (np.sqrt(sb / (1 - 0.999**step)) + 1e-8)
+
+
 class Model:
     """n-gram values (embedding times softmax difference), bias, and the calibration of window scores."""
 
@@ -95,22 +126,28 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7, epochs: int
     if not len(y) or share in (0.0, 1.0) or not any(words_of(t) for t in texts):
         return Model(np.zeros(BUCKETS), 0.0, np.log(max(share, 1e-3) / max(1 - share, 1e-3)), share)
     number: dict[str, int] = {}
-    docs = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int64) for t in texts]
+    docs = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int32) for t in texts]
     flat, sizes = grams_by_word(list(number))
-    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    del number, texts
+    offsets = running(sizes)
     # instances: windows, so that training sees what scoring sees; a text's label holds for its windows until
     # the model itself tells which window of a toxic text is the toxic one
     tokens, spans, at = np.concatenate(docs), [], 0
-    for k, d in enumerate(docs):
-        n = len(d)
-        spans += [(k, at + a, at + min(a + WINDOW, n)) for a in window_starts(n)] if n else []
+    for k, n in enumerate(map(len, docs)):
+        if n:
+            spans.append(np.array([(k, at + a, at + min(a + WINDOW, n)) for a in window_starts(n)], np.int64))
         at += n
-    owner, begin, end = (np.array(x, np.int64) for x in zip(*spans, strict=True))
-    used = np.unique(flat)
+    docs = np.split(tokens, np.cumsum([len(d) for d in docs])[:-1])  # views
+    owner, begin, end = np.concatenate(spans).T.copy()
+    del spans
     compact = np.zeros(BUCKETS, np.int32)
+    for at in range(0, len(flat), BLOCK):
+        compact[flat[at : at + BLOCK]] = 1
+    used = np.flatnonzero(compact)
     compact[used] = np.arange(len(used))
-    flat = compact[flat]
-    grams_before = np.concatenate(([0], np.cumsum(sizes[tokens])))
+    for at in range(0, len(flat), BLOCK):
+        flat[at : at + BLOCK] = compact[flat[at : at + BLOCK]]
+    grams_before = running(sizes[tokens])
 
     def bags(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """n-grams of the instances, one after another, and how many each has."""
@@ -126,13 +163,14 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7, epochs: int
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (E, W, b)]
     step = 0
     weight = np.where(y == 1, 0.5 / share, 1.0 / (1 - share))  # the calibration leans to leaving clean texts alone
-    active = np.arange(len(spans))
-    epochs = max(epochs, min(40, 400 * batch // len(spans)))  # a small sample takes more rounds
+    active = np.arange(len(owner))
+    epochs = max(epochs, min(40, 400 * batch // len(owner)))  # a small sample takes more rounds
     for epoch in range(epochs):
         if epoch >= 2:  # from now on a toxic text is its best window
             v = E @ (W[:, 1] - W[:, 0])
-            by_word = np.concatenate(([0.0], np.cumsum(np.add.reduceat(v[flat], offsets[:-1])[tokens])))
+            by_word = running(summed(v, flat, offsets)[tokens])
             score = (by_word[end] - by_word[begin]) / (grams_before[end] - grams_before[begin])
+            del by_word
             order = np.lexsort((-score, owner))
             first = order[np.concatenate(([True], owner[order][1:] != owner[order][:-1]))]
             negatives = np.flatnonzero(y[owner] == 0)
@@ -155,17 +193,13 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7, epochs: int
             p[np.arange(len(part)), y[owner[part]]] -= 1
             p *= (balance[part] / len(part))[:, None]
             each = np.repeat(p @ W.T / lengths[:, None], lengths, axis=0)
-            gE = np.stack([np.bincount(grams, each[:, k], len(used)) for k in range(DIMENSIONS)], axis=1)
+            gE = np.bincount((grams[:, None] * np.int64(DIMENSIONS) + np.arange(DIMENSIONS)).reshape(-1), each.reshape(-1), E.size)
             step += 1
             for q, g, (m, s) in zip((E, W, b), (gE, mean.T @ p, p.sum(0)), state, strict=True):
-                m *= 0.9
-                m += 0.1 * g
-                s *= 0.999
-                s += 0.001 * g * g
-                q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
+                adam(q, g, m, s, step, rate)
     values = np.zeros(BUCKETS)
     values[used] = E @ (W[:, 1] - W[:, 0])
-    word_sum = np.add.reduceat(values[used][flat], offsets[:-1])
+    word_sum = summed(values[used], flat, offsets)
     tops = np.array([t if (t := top_window(word_sum[d], sizes[d])) is not None else np.nan for d in docs])
     ok = ~np.isnan(tops)
     slope, offset = logistic(tops[ok], y[ok], weight[ok])
@@ -223,6 +257,14 @@ class WordValues(dict):
             self.update(zip(part, zip(sums.tolist(), counts.tolist(), strict=True), strict=True))
 
 
+def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, training) -> Model:
+    """The model of the sample; the driver's memory that the sample and the fit took goes back to the system."""
+    model = train(*labelled_sample(docs, labels, id_col, text_col, label_col, training))
+    gc.collect()
+    released()
+    return model
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """id_col, score (0 to 1) and predicted (1 if score >= 0.5) of every row of docs.
 
@@ -234,7 +276,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, training, id_col: str =
     an empty table gives an empty result.  Long texts are scored whole.  Scoring is one
     narrow map over whole texts; only the sample goes to the driver.
     """
-    model = train(*labelled_sample(docs, labels, id_col, text_col, label_col, training))
+    model = trained(docs, labels, id_col, text_col, label_col, training)
     key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double, predicted int"
 
@@ -257,7 +299,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, training, id_col: str =
 
 def without_toxic(docs: DataFrame, labels: DataFrame, training, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """The rows of docs whose score stays below the threshold, with all their columns; see toxicity_scores for nulls and ties."""
-    model = train(*labelled_sample(docs, labels, id_col, text_col, label_col, training))
+    model = trained(docs, labels, id_col, text_col, label_col, training)
     key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
     def passed(batches):

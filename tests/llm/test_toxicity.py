@@ -95,3 +95,33 @@ def test_sample_is_bounded_by_rows_and_characters(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 3000)
     texts, y = sample()
     assert {0, 1} == set(y) and sum(map(len, texts)) <= 6000
+
+
+def test_training_holds_little_beside_its_parameters():
+    """The driver trains: the parameters with their two moments and one gradient are four tables, and no step may take many more."""
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    words = ["".join(x) for x in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (40_000, 7))]
+    texts = [" ".join(words[i : i + 400]) for i in range(0, len(words), 400)]
+    table = toxicity.BUCKETS * toxicity.DIMENSIONS * 8
+    tracemalloc.start()
+    try:
+        toxicity.train(texts, [i % 2 for i in range(len(texts))], epochs=1)
+        assert tracemalloc.get_traced_memory()[1] < 7 * table
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_the_sample_goes_back(spark, monkeypatch):
+    """Later stages of a pipeline run in the same driver: what the training freed is returned to the system."""
+    order = []
+    train, released = toxicity.train, toxicity.released
+    monkeypatch.setattr(toxicity, "train", lambda *a: order.append("train") or train(*a))
+    monkeypatch.setattr(toxicity, "released", lambda: order.append("released") or released())
+    rows, labels = corpus()
+    docs, labelled = spark.createDataFrame(rows[:80], "doc_id bigint, text string"), spark.createDataFrame(labels[:80], "doc_id bigint, toxic int")
+    for f in (toxicity.toxicity_scores, toxicity.without_toxic):
+        order.clear()
+        f(docs, labelled, F.lit(True))
+        assert order == ["train", "released"]
