@@ -7,6 +7,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql.types import LongType
 from evidex.functions import text as T
 
 METRICS = ["characters", "sentences", "paragraphs", "lexical_diversity", "question_share", "exclamation_share", "mean_sentence"]
+PARCEL = 32_768  # rows whose hashes a task compares with as many
 
 
 def share(flags: Column, of: Column) -> Column:
@@ -151,14 +153,66 @@ def hamming_pairs(rows: DataFrame, id_col: str, hash_col: str, most: int = 5, sa
     candidates come from an equi-join on every choice of that many blocks of the
     distinct hashes.  More blocks make longer keys, and fewer candidates for more
     rows of keys: one block is enough for few hashes, two and more are taken for many
-    (the number of distinct hashes is counted first).  Hashes shared by many rows are
-    joined once and expanded at the end.  same_key: rows equal in it are no pair.
+    (the number of distinct hashes is counted first).  Beyond 6 bits no key is long
+    enough to tell hashes apart, so all rows are compared (_all_pairs).  Hashes shared
+    by many rows are joined once and expanded at the end.  same_key: rows equal in it are no pair.
     """
-    keys = rows.select(id_col, F.col(hash_col).alias("_h"), (F.col(same_key) if same_key else F.col(id_col).cast("string")).alias("_k")).persist(StorageLevel.MEMORY_AND_DISK)  # read three times; hashes cost far more than their rows
-    distinct = keys.select("_h").distinct()
+    keys = rows.select(F.col(id_col).alias("id"), F.col(hash_col).alias("_h"), F.col(same_key or id_col).alias("_k")).persist(StorageLevel.MEMORY_AND_DISK)  # read more than once; hashes cost far more than their rows
+    if blocks is None and most > 6:
+        pairs = _all_pairs(keys, most).where((F.col("k1") != F.col("k2")) & ((F.col("x") != F.col("y")) | (F.col("id1") != F.col("id2"))))
+    else:
+        near = _banded_near(keys.select("_h").where("_h IS NOT NULL").distinct(), most, blocks)
+        a, b = (keys.select(F.col("id").alias(f"id{s}"), F.col("_h").alias(h), F.col("_k").alias(f"k{s}")) for s, h in (("1", "x"), ("2", "y")))
+        pairs = near.join(a, "x").join(b, "y").where((F.col("k1") != F.col("k2")) & ((F.col("x") != F.col("y")) | (F.col("id1") < F.col("id2"))))
+    return pairs.select(F.least("id1", "id2").alias("left_id"), F.greatest("id1", "id2").alias("right_id"), F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("int").alias("distance"))
+
+
+def _all_pairs(keys: DataFrame, most: int) -> DataFrame:
+    """id1, x, k1, id2, y, k2: every two rows with hashes within `most` bits, once.
+
+    Rows lie in parcels by their id; every two parcels meet in one row, whose pairs
+    leave in batches.  A task holds two parcels and a batch, whatever the number of
+    rows and however many share a hash.  The work is n * n / 2 comparisons.
+    """
+    rows = keys.where("id IS NOT NULL AND _h IS NOT NULL AND _k IS NOT NULL")
+    n = rows.count()
+    parcels = max(1, -(-n // PARCEL), min(12, n // 1024))
+    held = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(parcels)).cast("int").alias("p")).agg(F.collect_list(F.struct("id", "_h", "_k")).alias("r"))
+    dealt = held.select("p", "r", F.explode(F.sequence(F.lit(0), F.lit(parcels - 1))).alias("o")).select(F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "p", "r")
+    tasks = min(parcels * (parcels + 1) // 2, 2000)  # said here, as Spark would put small rows together
+    meet = dealt.repartition(tasks, "i", "j").groupBy("i", "j").agg(F.min_by("r", "p").alias("a"), F.max_by("r", "p").alias("b"), F.count("*").alias("parcels"))
+
+    def met(batches):
+        for batch in batches:
+            i, j, a, b, parcels = (batch.column(c) for c in ("i", "j", "a", "b", "parcels"))
+            for k in range(batch.num_rows):
+                own = i[k] == j[k]
+                if not own and parcels[k].as_py() < 2:
+                    continue
+                left, right = a[k].values, b[k].values
+                xs, ys = (np.array(r.field("_h"), np.int64).view(np.uint64) for r in (left, right))
+                at, found, n = [], [], 0
+                for m, x in enumerate(xs):
+                    first = m + 1 if own else 0
+                    hits = np.flatnonzero(np.bitwise_count(ys[first:] ^ x) <= most)
+                    if len(hits):
+                        at.append(np.full(len(hits), m))
+                        found.append(hits + first)
+                        n += len(hits)
+                    if n >= 1 << 16 or n and m == len(xs) - 1:
+                        one, two = left.take(pa.array(np.concatenate(at))), right.take(pa.array(np.concatenate(found)))
+                        yield pa.RecordBatch.from_arrays([r.field(c) for r in (one, two) for c in ("id", "_h", "_k")], names=["id1", "x", "k1", "id2", "y", "k2"])
+                        at, found, n = [], [], 0
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return meet.mapInArrow(met, ", ".join(f"{name} {kinds[c]}" for name, c in (("id1", "id"), ("x", "_h"), ("k1", "_k"), ("id2", "id"), ("y", "_h"), ("k2", "_k"))))
+
+
+def _banded_near(distinct: DataFrame, most: int, blocks: int | None) -> DataFrame:
+    """x <= y: distinct hashes within `most` bits that agree in blocks - most blocks."""
     if blocks is None:
         n = distinct.count()
-        blocks = most + (1 if n <= 1 << 17 or most > 6 else 2 if n <= 1 << 22 else 3)
+        blocks = most + (1 if n <= 1 << 17 else 2 if n <= 1 << 22 else 3)
     cuts = [64 * k // blocks for k in range(blocks + 1)]
     piece = lambda k: F.shiftrightunsigned(F.shiftleft("_h", 64 - cuts[k + 1]), 64 - cuts[k + 1] + cuts[k])
     choices = list(itertools.combinations(range(blocks), blocks - most))
@@ -171,7 +225,4 @@ def hamming_pairs(rows: DataFrame, id_col: str, hash_col: str, most: int = 5, sa
 
     banded = distinct.select("_h", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), key(c).alias("value")) for i, c in enumerate(choices)])).alias("b")).select("_h", "b.*")
     left, right = banded.withColumnRenamed("_h", "x"), banded.withColumnRenamed("_h", "y")
-    near = left.join(right, ["band", "value"]).where((F.col("x") <= F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most)).select("x", "y").distinct()
-    a, b = (keys.select(F.col(id_col).alias(f"id{s}"), F.col("_h").alias(h), F.col("_k").alias(f"k{s}")) for s, h in (("1", "x"), ("2", "y")))
-    pairs = near.join(a, "x").join(b, "y").where((F.col("k1") != F.col("k2")) & ((F.col("x") != F.col("y")) | (F.col("id1") < F.col("id2"))))
-    return pairs.select(F.least("id1", "id2").alias("left_id"), F.greatest("id1", "id2").alias("right_id"), F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("int").alias("distance"))
+    return left.join(right, ["band", "value"]).where((F.col("x") <= F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most)).select("x", "y").distinct()

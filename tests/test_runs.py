@@ -107,3 +107,18 @@ def test_hamming_pairs_of_any_key_length(spark, blocks):
     df = spark.createDataFrame(list(enumerate(hashes)), "id bigint, h bigint")
     want = {(i, j, d) for i in range(len(hashes)) for j in range(i + 1, len(hashes)) if (d := ((hashes[i] ^ hashes[j]) & (2**64 - 1)).bit_count()) <= 5}
     assert {(r.left_id, r.right_id, r.distance) for r in corpus.hamming_pairs(df, "id", "h", 5, blocks=blocks).collect()} == want
+
+
+@pytest.mark.parametrize("parcel", [32_768, 50])
+def test_hamming_pairs_of_many_bits_meet_in_parcels(spark, monkeypatch, parcel):
+    """Beyond 6 bits hashes aren't joined on keys of a few bits, where each meets a large part of all others."""
+    monkeypatch.setattr(corpus, "PARCEL", parcel, raising=False)
+    rng = np.random.default_rng(4)
+    base = rng.integers(-(1 << 63), 1 << 63, 80, dtype=np.int64)
+    hashes = [*base.tolist(), *base[:9].tolist(), -(1 << 63), 0, *[int(np.int64(h) ^ np.int64(sum(1 << int(b) for b in rng.choice(63, rng.integers(10, 22), replace=False)))) for h in base]]
+    df = spark.createDataFrame([*enumerate(hashes), (999, None)], "id bigint, h bigint")
+    want = {(i, j, d) for i in range(len(hashes)) for j in range(i + 1, len(hashes)) if (d := ((hashes[i] ^ hashes[j]) & (2**64 - 1)).bit_count()) <= 16}
+    found = corpus.hamming_pairs(df, "id", "h", 16)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "value" not in found._jdf.queryExecution().optimizedPlan().toString()
