@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -163,7 +164,7 @@ def hamming_pairs(rows: DataFrame, id_col: str, hash_col: str, most: int = 5, sa
     else:
         near = _banded_near(keys.select("_h").where("_h IS NOT NULL").distinct(), most, blocks)
         a, b = (keys.select(F.col("id").alias(f"id{s}"), F.col("_h").alias(h), F.col("_k").alias(f"k{s}")) for s, h in (("1", "x"), ("2", "y")))
-        pairs = near.join(a, "x").join(b, "y").where((F.col("k1") != F.col("k2")) & ((F.col("x") != F.col("y")) | (F.col("id1") < F.col("id2"))))
+        pairs = near.hint("merge").join(a.hint("merge"), "x").hint("merge").join(b.hint("merge"), "y").where((F.col("k1") != F.col("k2")) & ((F.col("x") != F.col("y")) | (F.col("id1") < F.col("id2"))))
     return pairs.select(F.least("id1", "id2").alias("left_id"), F.greatest("id1", "id2").alias("right_id"), F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("int").alias("distance"))
 
 
@@ -208,8 +209,15 @@ def _all_pairs(keys: DataFrame, most: int) -> DataFrame:
     return meet.mapInArrow(met, ", ".join(f"{name} {kinds[c]}" for name, c in (("id1", "id"), ("x", "_h"), ("k1", "_k"), ("id2", "id"), ("y", "_h"), ("k2", "_k"))))
 
 
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def _banded_near(distinct: DataFrame, most: int, blocks: int | None) -> DataFrame:
-    """x <= y: distinct hashes within `most` bits that agree in blocks - most blocks."""
+    """x <= y: distinct hashes within `most` bits that agree in blocks - most blocks, each two once.
+
+    Joins are merged: a broadcast would gather its side's rows in the driver.
+    """
     if blocks is None:
         n = distinct.count()
         blocks = most + (1 if n <= 1 << 17 else 2 if n <= 1 << 22 else 3)
@@ -223,6 +231,10 @@ def _banded_near(distinct: DataFrame, most: int, blocks: int | None) -> DataFram
             out = F.shiftleft(out, cuts[k + 1] - cuts[k]).bitwiseOR(piece(k))
         return out
 
-    banded = distinct.select("_h", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), key(c).alias("value")) for i, c in enumerate(choices)])).alias("b")).select("_h", "b.*")
-    left, right = banded.withColumnRenamed("_h", "x"), banded.withColumnRenamed("_h", "y")
-    return left.join(right, ["band", "value"]).where((F.col("x") <= F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most)).select("x", "y").distinct()
+    bits = [sum(1 << k for k in c) for c in choices]  # a band is the bits of its blocks
+    banded = distinct.select("_h", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.lit((1 << b.bit_length()) - 1).alias("upto"), key(c).alias("value")) for b, c in zip(bits, choices, strict=True)])).alias("b")).select("_h", "b.*")
+    left, right = banded.withColumnRenamed("_h", "x"), banded.withColumnRenamed("_h", "y").drop("upto")
+    differ = F.col("x").bitwiseXOR(F.col("y"))
+    alike = reduce(Column.bitwiseOR, [F.when(differ.bitwiseAND(F.lit(_signed(((1 << cuts[k + 1]) - 1) ^ ((1 << cuts[k]) - 1)))) == 0, 1 << k).otherwise(0) for k in range(blocks)])
+    near = left.hint("merge").join(right.hint("merge"), ["band", "value"]).where((F.col("x") <= F.col("y")) & (F.bit_count(differ) <= most))
+    return near.where(alike.bitwiseAND(F.col("upto")) == F.col("band")).select("x", "y")  # only in the first band that the two share

@@ -122,3 +122,14 @@ def test_hamming_pairs_of_many_bits_meet_in_parcels(spark, monkeypatch, parcel):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(want) and set(got) == want
     assert "value" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("blocks", [6, 7, 8])
+def test_hamming_pairs_gather_no_rows_in_the_driver(spark, blocks):
+    """No side is broadcast, however small, and two hashes come out once though they share many bands."""
+    hashes = [0, 0, 1, 3, 7, -1, -2, 1 << 40, -(1 << 63)]
+    found = corpus.hamming_pairs(spark.createDataFrame(list(enumerate(hashes)), "id bigint, h bigint"), "id", "h", 5, blocks=blocks)
+    got = [tuple(r) for r in found.collect()]
+    want = {(i, j, d) for i in range(len(hashes)) for j in range(i + 1, len(hashes)) if (d := ((hashes[i] ^ hashes[j]) & (2**64 - 1)).bit_count()) <= 5}
+    assert len(got) == len(want) and set(got) == want
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
