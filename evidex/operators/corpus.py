@@ -18,6 +18,7 @@ from pyspark.sql.types import LongType
 from evidex.functions import text as T
 
 METRICS = ["characters", "sentences", "paragraphs", "lexical_diversity", "question_share", "exclamation_share", "mean_sentence"]
+SHINGLES = 1 << 16  # of a text that are counted at a time
 PARCEL = 32_768  # rows whose hashes a task compares with as many
 
 
@@ -122,11 +123,13 @@ def _simhash(texts: pd.Series, hashes: _Hashes) -> pd.Series:
     out = []
     for text in texts:
         compact = "".join((text or "").lower().split())
-        step = max(1, max(1, len(compact) - 4) // 12000)
-        grams = [compact[i : i + 5] for i in range(0, max(1, len(compact) - 4), step)]
-        found, often = np.unique(np.fromiter(map(hashes.__getitem__, grams), np.uint64, len(grams)), return_counts=True)
-        bits = np.unpackbits(found.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        on = 2 * (often @ bits) - len(grams) >= 0  # from the highest bit
+        n = max(1, len(compact) - 4)
+        tally = np.zeros(64)  # of each bit, from the highest: how many shingles have it
+        for start in range(0, n, SHINGLES):
+            grams = [compact[i : i + 5] for i in range(start, min(n, start + SHINGLES))]
+            found, often = np.unique(np.fromiter(map(hashes.__getitem__, grams), np.uint64, len(grams)), return_counts=True)
+            tally += often.astype(np.float32) @ np.unpackbits(found.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
+        on = 2 * tally - n >= 0
         out.append(int(np.packbits(on).view(">i8")[0]))
     return pd.Series(out, dtype="int64")
 

@@ -214,8 +214,8 @@ QUERIES = {
     "boilerplate_lines": (boilerplate_lines, f"WITH l AS (SELECT unnest(list_distinct(list_transform({sql_lines('text')}, lambda s: {sql_squeezed('s')}))) AS line FROM documents), c AS (SELECT line, count(*) AS documents_with FROM l WHERE length(regexp_replace(line, '{S}', '', 'g')) BETWEEN 8 AND 240 GROUP BY line ORDER BY documents_with DESC, line LIMIT 100) SELECT * FROM c WHERE documents_with >= greatest(2, ceil((SELECT count(*) FROM documents) * CAST(0.002 AS DOUBLE)))"),
     "near_dup_pairs": (near_dup_pairs, f"""
 WITH c AS (SELECT doc_id, lower(regexp_replace(text, '{S}', '', 'g')) AS c FROM documents),
-g AS (SELECT doc_id, sha256(c) AS sig, c, greatest(1, length(c) - 4) AS n, greatest(1, greatest(1, length(c) - 4) // 12000) AS step FROM c),
-s AS (SELECT doc_id, ('0x' || substr(md5(substring(c, CAST(i + 1 AS INTEGER), 5)), 1, 16))::UBIGINT AS h FROM (SELECT doc_id, c, unnest(range(0, n, step)) AS i FROM g)),
+g AS (SELECT doc_id, sha256(c) AS sig, c, greatest(1, length(c) - 4) AS n FROM c),
+s AS (SELECT doc_id, ('0x' || substr(md5(substring(c, CAST(i + 1 AS INTEGER), 5)), 1, 16))::UBIGINT AS h FROM (SELECT doc_id, c, unnest(range(0, n)) AS i FROM g)),
 b AS (SELECT doc_id, {', '.join(f'CASE WHEN 2 * count(*) FILTER ((h & CAST({1 << k} AS UBIGINT)) <> 0) >= count(*) THEN CAST({1 << k} AS UBIGINT) ELSE CAST(0 AS UBIGINT) END AS b{k}' for k in range(64))} FROM s GROUP BY doc_id),
 f AS (SELECT doc_id, {' | '.join(f'b{k}' for k in range(64))} AS h FROM b), x AS (SELECT f.doc_id, h, sig FROM f JOIN g USING (doc_id))
 SELECT a.doc_id AS left_id, b.doc_id AS right_id, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM x a JOIN x b ON a.doc_id < b.doc_id AND a.sig <> b.sig AND bit_count(xor(a.h, b.h)) <= 5"""),

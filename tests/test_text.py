@@ -107,3 +107,17 @@ def test_long_sentence_is_cut_and_library_subject(spark):
     assert [len(c) for _, _, c in chunking.chunks_of("x" * 2500, 1000)] == [1000, 1000, 500]
     assert one(spark, "项目地址 x\n\n`Foo`是一个工具", library.subject(F.col("x"))) == "foo"
     assert one(spark, "这是一个工具", library.subject(F.col("x"))) == ""
+
+
+def test_simhash_takes_every_shingle(spark):
+    """Texts of more than 24,000 characters, and more shingles than are counted at a time."""
+    import random
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefgh", k=n)) for n in (3, 24_003, 24_005, 30_001, 66_000)]
+    got = [r.h for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", corpus.simhash_md5("t").alias("h")).orderBy("i").collect()]
+    for text, h in zip(texts, got, strict=True):
+        n = max(1, len(text) - 4)
+        hashes = [int.from_bytes(hashlib.md5(text[i : i + 5].encode()).digest()[:8], "big") for i in range(n)]
+        want = sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in hashes) >= n)
+        assert h % (1 << 64) == want
