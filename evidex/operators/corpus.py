@@ -16,43 +16,34 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
 from evidex.functions import text as T
+from evidex.operators import style
 
 METRICS = ["characters", "sentences", "paragraphs", "lexical_diversity", "question_share", "exclamation_share", "mean_sentence"]
 SHINGLES = 1 << 16  # of a text that are counted at a time
 PARCEL = 32_768  # rows whose hashes a task compares with as many
 
 
-def share(flags: Column, of: Column) -> Column:
-    return F.size(flags) / F.greatest(F.size(of), F.lit(1))
-
-
 def style_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of style measures a document, in one narrow pass; nothing is shuffled."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    parts = docs.select(F.col(id_col), text.alias("_t"), T.sentences(text).alias("_s"), T.paragraphs(text).alias("_p"), T.tokens(text).alias("_k"), T.lines(text).alias("_l"))
-    sized = parts.withColumn("_n", F.array_sort(F.transform("_s", T.word_length))).withColumn("_m", F.array_sort(F.transform("_p", F.length)))
-    mean = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x) / F.greatest(F.size(a), F.lit(1))
-    return sized.select(
-        id_col,
-        F.length("_t").cast("bigint").alias("characters"),
-        T.count_of("_t", T.CJK).cast("bigint").alias("cjk_characters"),
-        T.count_of("_t", T.ASCII_WORD).cast("bigint").alias("ascii_words"),
-        F.size("_p").cast("bigint").alias("paragraphs"),
-        F.size("_s").cast("bigint").alias("sentences"),
-        F.round(mean("_n"), 2).alias("mean_sentence"),
-        F.round(T.quantile(F.col("_n"), 0.25), 2).alias("p25_sentence"),
-        F.round(T.quantile(F.col("_n"), 0.5), 2).alias("median_sentence"),
-        F.round(T.quantile(F.col("_n"), 0.75), 2).alias("p75_sentence"),
-        F.coalesce(F.array_max("_n"), F.lit(0)).cast("bigint").alias("max_sentence"),
-        F.round(mean("_m"), 2).alias("mean_paragraph"),
-        F.round(T.quantile(F.col("_m"), 0.5), 2).alias("median_paragraph"),
-        F.round(F.size(F.array_distinct("_k")) / F.greatest(F.size("_k"), F.lit(1)), 4).alias("lexical_diversity"),
-        F.round(share(F.filter("_s", lambda s: s.rlike("[?？]$")), F.col("_s")), 4).alias("question_share"),
-        F.round(share(F.filter("_s", lambda s: s.rlike("[!！]$")), F.col("_s")), 4).alias("exclamation_share"),
-        F.round(share(F.filter("_l", lambda s: s.rlike(T.HEADING_LINE)), F.col("_l")), 4).alias("heading_share"),
-        F.round(share(F.filter("_l", lambda s: s.rlike(T.LIST_LINE)), F.col("_l")), 4).alias("list_share"),
-        T.count_of("_t", "[“”\"‘’]").cast("bigint").alias("quote_marks"),
-    )
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+    most = style.AT_A_TIME
+
+    def measured(batches):
+        for batch in batches:
+            ids = batch.column(0)
+            for texts in style.parts(batch.column(1).to_pylist(), most):
+                found = style.measured(texts)
+                yield pa.RecordBatch.from_arrays([ids[: len(texts)], *map(pa.array, found.values())], names=["id", *found])
+                ids = ids[len(texts) :]
+
+    return rounded(rows.mapInArrow(measured, f"id {rows.schema['id'].dataType.simpleString()}, {style.SCHEMA}"), F.col("id").alias(id_col))
+
+
+def rounded(found: DataFrame, *more: Column) -> DataFrame:
+    """style.measured, as style_metrics gives it."""
+    near = lambda m: F.round(m, 4 if m == "lexical_diversity" or m.endswith("_share") else 2).alias(m)
+    names = ["characters", "cjk_characters", "ascii_words", "paragraphs", "sentences", "mean_sentence", "p25_sentence", "median_sentence", "p75_sentence", "max_sentence", "mean_paragraph", "median_paragraph", "lexical_diversity", "question_share", "exclamation_share", "heading_share", "list_share", "quote_marks"]
+    return found.select(*more, *[near(m) if m in style.NUMBERS else F.col(m) for m in names])
 
 
 def distributions(metrics: DataFrame, names: list[str] | None = None) -> DataFrame:
