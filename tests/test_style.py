@@ -32,6 +32,21 @@ def test_odd_texts_equal_sql(spark, tmp_path, monkeypatch, most):
         assert got[k]["lexical_diversity"] == round(len(set(tokens)) / max(1, len(tokens)), 4), repr(t)
 
 
+def test_text_compare_of_odd_texts_equals_sql(spark, tmp_path, monkeypatch):
+    """Trigrams of any characters, markers in capitals, texts without trigrams; one pass over the texts of each side."""
+    monkeypatch.setattr(style, "AT_A_TIME", 50)
+    rng = random.Random(7)
+    parts = [*ODD, "However, YOU ", "但是 你们 ", "i we my ", "yyouyou", "例如", "für ", "😀😃 ", "in conclusion"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(250)]
+    texts = [t for t in texts if not style.re.search("[㐀-䶿一-鿿]{2}", "".join(style.re.findall("[㐀-䶿一-鿿]", t)))]  # the SQL has no pairs of these among its tokens
+    spark.createDataFrame([(k, "en", t) for k, t in enumerate(texts)], "doc_id bigint, lang string, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    next((tmp_path / "d").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    n, found = differences(spark, "text_compare", catalogue.queries()["text_compare"], catalogue.oracle_sql()["text_compare"], str(tmp_path))
+    assert n == len(texts) - 1 and not found, found
+    plan = catalogue.queries()["text_compare"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("Join") == 2
+
+
 def test_measures_take_no_pass_of_patterns(spark):
     plan = catalogue.queries()["style_distributions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp" not in plan
