@@ -70,7 +70,7 @@ def markdown_sections(spark, d):
 
 def benchmark_overlap(spark, d):
     """Trigram Jaccard of each benchmark item with every document that shares a trigram with it."""
-    return compare.overlaps(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id").withColumn("overlap", F.round("overlap", 6))
+    return compare.overlaps(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id", digits=6)
 
 
 def text_compare(spark, d):
